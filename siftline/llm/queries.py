@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import near_duplicates, sets, split_overlap
+from . import near_duplicates, sets, split_overlap, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,22 @@ def p3_report(spark: SparkSession, folder: str) -> DataFrame:
     return split_overlap.report(table(spark, folder, "split_samples"), found, "row_id", "split", F.col("source"))
 
 
+def _checked(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.checked(table(spark, folder, "samples"), id_="sample_id", text="raw_code", language="language", keep=("repo",))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _checked(spark, folder).where("broken").select(F.col("id").alias("sample_id")).distinct()
+
+
+def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
+    return _checked(spark, folder).withColumnRenamed("id", "sample_id")
+
+
+def p4_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return syntax.rates(_checked(spark, folder), "repo")
+
+
 def _near_duplicates(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates.near_duplicates(table(spark, folder, "samples"), id_="sample_id", text="raw_code", tag=_language())
 
