@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import near_duplicates, sets, split_overlap, syntax
+from . import bpe, lookalikes, near_duplicates, packing, sets, splitting, split_overlap, syntax
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,18 @@ def _language() -> F.Column:
     return F.lower(F.trim(F.col("language")))
 
 
+def _pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return splitting.pieces(table(spark, folder, "samples"), id_="sample_id", text="raw_code")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).where("piece_no = 1").select(F.col("id").alias("sample_id")).distinct()
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return _pieces(spark, folder).withColumnRenamed("id", "sample_id")
+
+
 def _overlaps(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return split_overlap.overlaps(table(spark, folder, "split_samples"), id_="row_id", text="raw", split="split")
 
@@ -63,6 +75,34 @@ def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(*_near_duplicates(spark, folder)).withColumnRenamed("id", "sample_id")
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encoded(table(spark, folder, "documents"), id_="doc_id", text="text").withColumnRenamed("id", "doc_id")
+
+
+def _containers(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(bpe.counted(table(spark, folder, "documents"), id_="doc_id", text="text"), id_="id", n="n")
+
+
+def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _containers(spark, folder).select(F.col("id").alias("doc_id"), F.col("start").alias("first_token"), F.col("n").alias("n_tokens"), F.col("container").alias("container_id"))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.fill(_containers(spark, folder)).withColumnRenamed("container", "container_id")
+
+
+def _forms(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.forms(table(spark, folder, "documents"), id_="doc_id", text="text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalikes.alike(_forms(spark, folder)).select(F.col("id_a").alias("doc_id_a"), F.col("id_b").alias("doc_id_b"))
+
+
+def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return _forms(spark, folder).select(F.col("id").alias("doc_id"), "form")
+
+
 _SHINGLES = """
 w AS (SELECT {id} AS id, {tag} AS tag, regexp_extract_all({text}, '[A-Za-z0-9_]+') AS w FROM {table} WHERE {text} IS NOT NULL),
 s AS (SELECT DISTINCT id, tag, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT id, tag, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
@@ -71,6 +111,7 @@ shared AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.s =
 likeness AS (SELECT a, b, k / (x.n + y.n - k) AS j FROM shared JOIN n x ON x.id = a JOIN n y ON y.id = b)"""
 
 SQL = {
+    "p1_found": "SELECT DISTINCT sample_id FROM samples WHERE length(raw_code) > 4000",
     "p3_found": "WITH "
     + _SHINGLES.format(id="row_id", tag="(split = 'train')", text="raw", table="(SELECT * FROM split_samples WHERE split IN ('train', 'test', 'val'))", match="a.tag <> b.tag AND a.id < b.id")
     + " SELECT a AS row_id_a, b AS row_id_b FROM likeness WHERE j >= 0.80",
