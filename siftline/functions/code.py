@@ -10,7 +10,7 @@ from ..sources.files import split_lines
 # Caps of the structural features, words that branch, and signs of pointers.
 MOST = {"tokens": 512, "lines": 200, "depth": 20, "calls": 50, "branches": 30, "line_length": 120}
 BRANCHES = "if|else|elif|switch|case|for|while|do|try|catch|except|finally"
-POINTERS = r"\*\s*\w|\w\s*->|\bmalloc\b|\bfree\b|\bnew\b|\bdelete\b|&\w"
+POINTERS = r"\*\s*\w|\w\s*->|(?<!\w)(?:malloc|free|new|delete)(?!\w)|&\w"
 FEATURES = ["n_tokens", "n_lines", "avg_line_len", "n_function_calls", "n_branches", "max_nesting_depth", "has_pointer_ops", "cyclomatic_proxy"]
 SEVERITY_SCORE = {"CRITICAL": 1.0, "HIGH": 0.8, "MEDIUM": 0.5, "LOW": 0.2, "INFO": 0.05}
 SEVERITY_RANK = {"CRITICAL": 5, "HIGH": 4, "MEDIUM": 3, "LOW": 2, "INFO": 1}
@@ -40,7 +40,8 @@ def structural_features(text: Column) -> dict[str, Column]:
     """The eight structural features of a code, each 0..1; null for a null text.
 
     Tokens are runs of non-space characters; a call is a word before a bracket; nesting is a quarter of the
-    widest indent in spaces, or the widest in a line with tabs.
+    widest indent in spaces, or the widest in a line with tabs.  Words end at anything but ASCII letters, digits
+    and underscores.
     """
     lines = split_lines(text)
     full = F.filter(lines, lambda s: s.rlike(r"\S"))
@@ -48,7 +49,7 @@ def structural_features(text: Column) -> dict[str, Column]:
     indent = lambda s: F.length(s) - F.length(F.regexp_replace(s, r"^[ \t\x0b\f]+", ""))
     depth = F.array_max(F.transform(full, lambda s: F.when(s.contains("\t"), indent(s)).otherwise(F.floor(indent(s) / 4).cast("int"))))
     capped = lambda x, k: F.least(x, F.lit(MOST[k])) / F.lit(float(MOST[k]))
-    branches = F.least(count(text, rf"\b(?:{BRANCHES})\b"), F.lit(MOST["branches"]))
+    branches = F.least(count(text, rf"(?<!\w)(?:{BRANCHES})(?!\w)"), F.lit(MOST["branches"]))
     mean = F.when(n > 0, F.aggregate(full, F.lit(0).cast("bigint"), lambda a, s: a + F.length(s)) / n).otherwise(0.0)
     out = {
         "n_tokens": capped(count(text, r"\S+"), "tokens"),

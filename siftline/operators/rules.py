@@ -6,6 +6,7 @@ the enclosing function or the whole file.  All rules are kept in one registry; a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,19 +16,12 @@ from ..session import cut
 from ..sources import files as S
 from ..sources import parse as P
 
-# Severities by rank, and the weights of the heuristic risk.
-SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
-
-L = F.col("src")
-NAME = F.col("callee")
-
-
 def has(pattern: str) -> Column:
-    return L.rlike(pattern)
+    return F.col("src").rlike(pattern)
 
 
 def holds(text: str) -> Column:
-    return L.contains(text)
+    return F.col("src").contains(text)
 
 
 @dataclass(frozen=True)
@@ -57,90 +51,100 @@ class Rule:
 
 _CALL = ("call_expression",)
 _FORMAT = ["printf", "fprintf", "sprintf", "snprintf", "vprintf"]
-_EXTERN = F.col("extern_input")
-_MARK = lambda n: F.coalesce(F.col(n), F.lit(False))
+#: Functions that give further rules: plug-ins append to this list.
+MORE: list[Callable[[], Rule]] = []
+
+
+def _mark(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(False))
 
 
 def _worse(condition: Column) -> Column:
     return F.when(condition, "CRITICAL").otherwise("HIGH")
 
 
-# Names, weaknesses, severities, confidences and patterns of the rules.
-RULES: list[Rule] = [
-    Rule("strcpy_overflow", "c", _CALL, "CWE-120", "Buffer overflow by an unbounded copy", "HIGH", 0.90, NAME.isin("strcpy", "strcat", "wcscpy", "wcscat")),
-    Rule("gets_unbounded_read", "c", _CALL, "CWE-121", "Unbounded read", "CRITICAL", 0.98, NAME == "gets"),
-    Rule("sprintf_overflow", "c", _CALL, "CWE-120", "Buffer overflow by formatting", "HIGH", 0.85, NAME == "sprintf"),
-    Rule("scanf_unbounded_string", "c", _CALL, "CWE-120", "Unbounded string read", "HIGH", 0.80, NAME.isin("scanf", "fscanf", "sscanf") & has(r"%\d*s") & ~has(r"%\d+s")),
-    Rule(
-        "format_string_injection", "c", _CALL, "CWE-134", "Format string from a variable", "HIGH", 0.80,
-        NAME.isin(*_FORMAT, "syslog") & ~F.coalesce(F.expr(r"""regexp_like(src, concat(callee, '\\s*\\(\\s*"'))"""), F.lit(False)),
-    ),
-    Rule("command_injection", "c", _CALL, "CWE-78", "Command from a variable", _worse(_EXTERN), 0.88, NAME.isin("system", "popen", "execl", "execlp", "execvp")),
-    Rule("memcpy_no_bounds", "c", _CALL, "CWE-125", "Copy without a size check", "MEDIUM", 0.65, NAME.isin("memcpy", "memmove", "bcopy") & ~holds("sizeof")),
-    Rule(
-        "memory_leak_raw_new", "cpp", ("new_expression",), "CWE-401", "Raw new without delete", "MEDIUM", 0.70,
-        ~has(r"(?:unique_ptr|shared_ptr|make_unique|make_shared)") & ~_MARK("f_delete"), {"f_delete": holds("delete")},
-    ),
-    Rule(
-        "nullptr_dereference_uncaught", "cpp", ("pointer_expression",), "CWE-476", "Dereference without a null check", "MEDIUM", 0.65,
-        ~_MARK("before3") & ~has(r"(?:unique_ptr|shared_ptr|weak_ptr).*\*") & has(r"(?:\*\s*\w+|\w+\s*->)") & ~_MARK("f_try"), {"f_try": holds("try") | holds("catch")},
-    ),
-    Rule("char_array_buffer_issue", "cpp", ("declaration",), "CWE-190", "Fixed character array", "LOW", 0.60, has(r"\bchar\s+\w+\s*\[\s*\d+\s*\]") & ~(holds("const") & holds("=") & holds('"'))),
-    Rule(
-        "cpp_format_string_injection", "cpp", _CALL, "CWE-134", "Format string from a variable", "HIGH", 0.80,
-        (F.regexp_extract(L, r"^\s*(?:\w+\s*=\s*)?(\w+)\s*\(", 1).isin(*_FORMAT) | NAME.isin(*_FORMAT))
-        & ~F.coalesce(F.expr(r"""regexp_like(src, concat(if(regexp_extract(src, '^\\s*(?:\\w+\\s*=\\s*)?(\\w+)\\s*\\(', 1) IN ('printf', 'fprintf', 'sprintf', 'snprintf', 'vprintf'), regexp_extract(src, '^\\s*(?:\\w+\\s*=\\s*)?(\\w+)\\s*\\(', 1), callee), '\\s*\\(\\s*(?:stdout\\s*,\\s*)?["\']'))"""), F.lit(False)),
-    ),
-    Rule(
-        "cpp_system_command_injection", "cpp", _CALL, "CWE-78", "Command from a variable", "CRITICAL", 0.85,
-        has(r"\bsystem\s*\(") & (~has(r"""system\s*\(\s*["']""") | has(r"""system\s*\(\s*(?:[^"'(]+\+|cmd|command|buf|input)""")),
-    ),
-    Rule("integer_overflow_array_size", "cpp", ("new_expression",), "CWE-190", "Array size from arithmetic", "HIGH", 0.72, has(r"new\s+\w[\w:<>*\s]*\[\s*\w+\s*[*+]\s*\w+") & ~has(r"(?:size_t|static_cast|checked_|overflow)")),
-    Rule("ofstream_incorrect_permissions", "cpp", ("declaration", "expression_statement"), "CWE-732", "File made with default permissions", "MEDIUM", 0.68, has(r"""\bofstream\b|\bofs\.open\s*\(|\bfopen\s*\(.*["']w""") & ~has(r"(?:chmod|umask|ios::out\s*\|)")),
-    Rule(
-        "sql_injection_string_concat", "java", ("method_invocation",), "CWE-89", "Query joined from strings", "CRITICAL", 0.90,
-        has(r"(?i)(?:executeQuery|executeUpdate|prepareStatement|createStatement)\s*\([^)]*\+") & ~has(r'prepareStatement\s*\(\s*"[^"]*\?'),
-    ),
-    Rule(
-        "xxe_document_builder_factory", "java", ("method_invocation",), "CWE-611", "XML parser with external entities", "HIGH", 0.82, holds("DocumentBuilderFactory") & ~_MARK("f_safe_xml"),
-        {"f_safe_xml": has("setFeature|external-general-entities|external-parameter-entities|disallow-doctype-decl|setExpandEntityReferences")},
-    ),
-    Rule("unsafe_deserialization_object_input_stream", "java", ("method_invocation",), "CWE-502", "Objects read from a stream", "CRITICAL", 0.88, has(r"\.readObject\s*\(\s*\)") & (_MARK("f_stream") | holds("ObjectInputStream")), {"f_stream": holds("ObjectInputStream")}),
-    Rule(
-        "path_traversal_new_file", "java", ("object_creation_expression",), "CWE-22", "Path from a variable", "HIGH", 0.78,
-        has(r"\bnew\s+File\s*\(") & ~has(r'new\s+File\s*\(\s*"[^"]*"\s*\)') & has(r"new\s+File\s*\([^)]*(?:\+|\w)") & ~_MARK("f_checked_path"),
-        {"f_checked_path": holds("getCanonicalPath") | holds("normalize") | holds("startsWith")},
-    ),
-    Rule("runtime_exec_command_injection", "java", ("method_invocation",), "CWE-78", "Command from a variable", _worse(holds("+")), 0.87, has(r"Runtime\s*\.\s*getRuntime\s*\(\s*\)\s*\.\s*exec\s*\(")),
-    Rule(
-        "hardcoded_password_credential", "java", ("variable_declarator", "local_variable_declaration", "field_declaration"), "CWE-798", "Credential in the source", "HIGH", 0.85,
-        has(r"""(?i)(?:password|passwd|pwd|secret|credential|apikey|api_key|authtoken|auth_token)\s*=\s*["'][^"']{4,}["']""") & ~has(r"(?i)(?:your_|example|placeholder|changeme|xxx|todo|<|>|\{|\})"),
-    ),
-    Rule(
-        "null_return_not_checked", "java", ("method_invocation",), "CWE-476", "Result used without a null check", "MEDIUM", 0.70,
-        has(r"(?i)\b(?:get|find|lookup|fetch|load|read|next|peek|poll|remove|getProperty|getenv|getParameter|getAttribute|getHeader)\s*\(") & has(r"\)\s*\.")
-        & ~has(r"(?:Optional|Objects\.requireNonNull|!= null|== null|isPresent|orElse)"),
-    ),
-    Rule(
-        "hardcoded_crypto_key", "java", ("local_variable_declaration", "field_declaration", "variable_declarator", "string_literal"), "CWE-321", "Key in the source", "HIGH", 0.83,
-        (has(r"(?i)(?:key|secretkey|aeskey|deskey|privatekey|ivspec|initvector|iv|hmackey)\s*=\s*") & has(r"""(?:["'][^"']{4,}["']|new\s+(?:byte|char)\s*\[\s*\]\s*\{[^}]+\})"""))
-        | (has(r"(?:SecretKeySpec|IvParameterSpec|SecretKeyFactory)\s*\(") & (has(r"""(?:SecretKeySpec|IvParameterSpec)\s*\([^)]*["']""") | has(r"(?:SecretKeySpec|IvParameterSpec)\s*\([^)]*getBytes"))),
-    ),
-    Rule("eval_exec_injection", "python", ("call",), "CWE-95", "Code from a variable", "CRITICAL", 0.88, NAME.isin("eval", "exec", "compile") & ~F.coalesce(F.expr(r"""regexp_like(src, concat(callee, '\\s*\\(\\s*["\']'))"""), F.lit(False))),
-    Rule("unsafe_deserialization", "python", ("call",), "CWE-502", "Objects read from a pickle", "CRITICAL", 0.92, has(r"pickle\.(loads?|Unpickler)")),
-    Rule("subprocess_shell_injection", "python", ("call",), "CWE-78", "Command run by a shell", "HIGH", 0.90, holds("subprocess") & (holds("shell=True") | holds("shell = True"))),
-    Rule("os_system_injection", "python", ("call",), "CWE-78", "Command run by a shell", "HIGH", 0.85, has(r"os\.(system|popen)\s*\(")),
-    Rule("path_traversal", "python", ("call",), "CWE-22", "Path from a variable", "MEDIUM", F.when(_EXTERN, 0.80).otherwise(0.55), has(r"\bopen\s*\(") & ~has(r"""open\s*\(\s*["']""")),
-    Rule(
-        "hardcoded_secret", "python", ("assignment",), "CWE-798", "Credential in the source", "HIGH", 0.82,
-        has(r"""(?i)(password|passwd|secret|api_key|apikey|token|auth_token|private_key|access_key|secret_key|credentials)\s*=\s*["'][^"']{4,}["']""") & ~has(r"(?i)(?:your_|example|placeholder|changeme|xxx|todo)"), whole_file=True,
-    ),
-    Rule("go_exec_command_injection", "go", _CALL, "CWE-78", "Command from a variable", _worse(_EXTERN), 0.85, has(r"exec\.Command\s*\(") & ~has(r'exec\.Command\s*\(\s*"[^"]+"\s*\)'), whole_file=True),
-    Rule("go_unsafe_pointer", "go", ("qualified_type",), "CWE-242", "Unsafe pointer", "MEDIUM", 0.85, (holds("unsafe.Pointer") | holds("unsafe.Sizeof")) & ~holds("import"), whole_file=True),
-    Rule("go_ignored_error", "go", ("short_var_declaration",), "CWE-390", "Error ignored", "MEDIUM", 0.75, has(r"^\s*\w+\s*,\s*_\s*:?=|^\s*_\s*,\s*\w+\s*:?=|^\s*_\s*=") & ~holds("range ") & ~holds("for "), whole_file=True),
-    Rule("go_fmt_sprintf_injection", "go", _CALL, "CWE-134", "Format string from a variable", "MEDIUM", 0.72, has(r"fmt\.(Sprintf|Fprintf|Printf|Errorf)\s*\(") & ~has(r'fmt\.\w+\s*\(\s*"') & ~has(r'fmt\.Fprintf\s*\(\s*\w+\s*,\s*"'), whole_file=True),
-    Rule("go_hardcoded_secret", "go", ("var_declaration",), "CWE-798", "Credential in the source", "HIGH", 0.82, has(r'(?i)(password|passwd|secret|apiKey|api_key|token|authToken|privateKey|accessKey|secretKey|credentials)\s*[=:]\s*"[^"]{4,}"') & ~has(r"(?i)(?:example|placeholder|your_|changeme)"), whole_file=True),
-]
+def registry() -> list[Rule]:
+    """All rules that look at a line; columns need a running session, so they are made anew."""
+    callee, extern = F.col("callee"), F.col("extern_input")
+    # Names, weaknesses, severities, confidences and patterns of the rules.
+    built_in = [
+        Rule("strcpy_overflow", "c", _CALL, "CWE-120", "Buffer overflow by an unbounded copy", "HIGH", 0.90, callee.isin("strcpy", "strcat", "wcscpy", "wcscat")),
+        Rule("gets_unbounded_read", "c", _CALL, "CWE-121", "Unbounded read", "CRITICAL", 0.98, callee == "gets"),
+        Rule("sprintf_overflow", "c", _CALL, "CWE-120", "Buffer overflow by formatting", "HIGH", 0.85, callee == "sprintf"),
+        Rule("scanf_unbounded_string", "c", _CALL, "CWE-120", "Unbounded string read", "HIGH", 0.80, callee.isin("scanf", "fscanf", "sscanf") & has(r"%\d*s") & ~has(r"%\d+s")),
+        Rule(
+            "format_string_injection", "c", _CALL, "CWE-134", "Format string from a variable", "HIGH", 0.80,
+            callee.isin(*_FORMAT, "syslog") & ~F.coalesce(F.expr(r"""regexp_like(src, concat(callee, '\\s*\\(\\s*"'))"""), F.lit(False)),
+        ),
+        Rule("command_injection", "c", _CALL, "CWE-78", "Command from a variable", _worse(extern), 0.88, callee.isin("system", "popen", "execl", "execlp", "execvp")),
+        Rule("memcpy_no_bounds", "c", _CALL, "CWE-125", "Copy without a size check", "MEDIUM", 0.65, callee.isin("memcpy", "memmove", "bcopy") & ~holds("sizeof")),
+        Rule(
+            "memory_leak_raw_new", "cpp", ("new_expression",), "CWE-401", "Raw new without delete", "MEDIUM", 0.70,
+            ~has(r"(?:unique_ptr|shared_ptr|make_unique|make_shared)") & ~_mark("f_delete"), {"f_delete": holds("delete")},
+        ),
+        Rule(
+            "nullptr_dereference_uncaught", "cpp", ("pointer_expression",), "CWE-476", "Dereference without a null check", "MEDIUM", 0.65,
+            ~_mark("before3") & ~has(r"(?:unique_ptr|shared_ptr|weak_ptr).*\*") & has(r"(?:\*\s*\w+|\w+\s*->)") & ~_mark("f_try"), {"f_try": holds("try") | holds("catch")},
+        ),
+        Rule("char_array_buffer_issue", "cpp", ("declaration",), "CWE-190", "Fixed character array", "LOW", 0.60, has(r"\bchar\s+\w+\s*\[\s*\d+\s*\]") & ~(holds("const") & holds("=") & holds('"'))),
+        Rule(
+            "cpp_format_string_injection", "cpp", _CALL, "CWE-134", "Format string from a variable", "HIGH", 0.80,
+            (F.regexp_extract(L, r"^\s*(?:\w+\s*=\s*)?(\w+)\s*\(", 1).isin(*_FORMAT) | callee.isin(*_FORMAT))
+            & ~F.coalesce(F.expr(r"""regexp_like(src, concat(if(regexp_extract(src, '^\\s*(?:\\w+\\s*=\\s*)?(\\w+)\\s*\\(', 1) IN ('printf', 'fprintf', 'sprintf', 'snprintf', 'vprintf'), regexp_extract(src, '^\\s*(?:\\w+\\s*=\\s*)?(\\w+)\\s*\\(', 1), callee), '\\s*\\(\\s*(?:stdout\\s*,\\s*)?["\']'))"""), F.lit(False)),
+        ),
+        Rule(
+            "cpp_system_command_injection", "cpp", _CALL, "CWE-78", "Command from a variable", "CRITICAL", 0.85,
+            has(r"\bsystem\s*\(") & (~has(r"""system\s*\(\s*["']""") | has(r"""system\s*\(\s*(?:[^"'(]+\+|cmd|command|buf|input)""")),
+        ),
+        Rule("integer_overflow_array_size", "cpp", ("new_expression",), "CWE-190", "Array size from arithmetic", "HIGH", 0.72, has(r"new\s+\w[\w:<>*\s]*\[\s*\w+\s*[*+]\s*\w+") & ~has(r"(?:size_t|static_cast|checked_|overflow)")),
+        Rule("ofstream_incorrect_permissions", "cpp", ("declaration", "expression_statement"), "CWE-732", "File made with default permissions", "MEDIUM", 0.68, has(r"""\bofstream\b|\bofs\.open\s*\(|\bfopen\s*\(.*["']w""") & ~has(r"(?:chmod|umask|ios::out\s*\|)")),
+        Rule(
+            "sql_injection_string_concat", "java", ("method_invocation",), "CWE-89", "Query joined from strings", "CRITICAL", 0.90,
+            has(r"(?i)(?:executeQuery|executeUpdate|prepareStatement|createStatement)\s*\([^)]*\+") & ~has(r'prepareStatement\s*\(\s*"[^"]*\?'),
+        ),
+        Rule(
+            "xxe_document_builder_factory", "java", ("method_invocation",), "CWE-611", "XML parser with external entities", "HIGH", 0.82, holds("DocumentBuilderFactory") & ~_mark("f_safe_xml"),
+            {"f_safe_xml": has("setFeature|external-general-entities|external-parameter-entities|disallow-doctype-decl|setExpandEntityReferences")},
+        ),
+        Rule("unsafe_deserialization_object_input_stream", "java", ("method_invocation",), "CWE-502", "Objects read from a stream", "CRITICAL", 0.88, has(r"\.readObject\s*\(\s*\)") & (_mark("f_stream") | holds("ObjectInputStream")), {"f_stream": holds("ObjectInputStream")}),
+        Rule(
+            "path_traversal_new_file", "java", ("object_creation_expression",), "CWE-22", "Path from a variable", "HIGH", 0.78,
+            has(r"\bnew\s+File\s*\(") & ~has(r'new\s+File\s*\(\s*"[^"]*"\s*\)') & has(r"new\s+File\s*\([^)]*(?:\+|\w)") & ~_mark("f_checked_path"),
+            {"f_checked_path": holds("getCanonicalPath") | holds("normalize") | holds("startsWith")},
+        ),
+        Rule("runtime_exec_command_injection", "java", ("method_invocation",), "CWE-78", "Command from a variable", _worse(holds("+")), 0.87, has(r"Runtime\s*\.\s*getRuntime\s*\(\s*\)\s*\.\s*exec\s*\(")),
+        Rule(
+            "hardcoded_password_credential", "java", ("variable_declarator", "local_variable_declaration", "field_declaration"), "CWE-798", "Credential in the source", "HIGH", 0.85,
+            has(r"""(?i)(?:password|passwd|pwd|secret|credential|apikey|api_key|authtoken|auth_token)\s*=\s*["'][^"']{4,}["']""") & ~has(r"(?i)(?:your_|example|placeholder|changeme|xxx|todo|<|>|\{|\})"),
+        ),
+        Rule(
+            "null_return_not_checked", "java", ("method_invocation",), "CWE-476", "Result used without a null check", "MEDIUM", 0.70,
+            has(r"(?i)\b(?:get|find|lookup|fetch|load|read|next|peek|poll|remove|getProperty|getenv|getParameter|getAttribute|getHeader)\s*\(") & has(r"\)\s*\.")
+            & ~has(r"(?:Optional|Objects\.requireNonNull|!= null|== null|isPresent|orElse)"),
+        ),
+        Rule(
+            "hardcoded_crypto_key", "java", ("local_variable_declaration", "field_declaration", "variable_declarator", "string_literal"), "CWE-321", "Key in the source", "HIGH", 0.83,
+            (has(r"(?i)(?:key|secretkey|aeskey|deskey|privatekey|ivspec|initvector|iv|hmackey)\s*=\s*") & has(r"""(?:["'][^"']{4,}["']|new\s+(?:byte|char)\s*\[\s*\]\s*\{[^}]+\})"""))
+            | (has(r"(?:SecretKeySpec|IvParameterSpec|SecretKeyFactory)\s*\(") & (has(r"""(?:SecretKeySpec|IvParameterSpec)\s*\([^)]*["']""") | has(r"(?:SecretKeySpec|IvParameterSpec)\s*\([^)]*getBytes"))),
+        ),
+        Rule("eval_exec_injection", "python", ("call",), "CWE-95", "Code from a variable", "CRITICAL", 0.88, callee.isin("eval", "exec", "compile") & ~F.coalesce(F.expr(r"""regexp_like(src, concat(callee, '\\s*\\(\\s*["\']'))"""), F.lit(False))),
+        Rule("unsafe_deserialization", "python", ("call",), "CWE-502", "Objects read from a pickle", "CRITICAL", 0.92, has(r"pickle\.(loads?|Unpickler)")),
+        Rule("subprocess_shell_injection", "python", ("call",), "CWE-78", "Command run by a shell", "HIGH", 0.90, holds("subprocess") & (holds("shell=True") | holds("shell = True"))),
+        Rule("os_system_injection", "python", ("call",), "CWE-78", "Command run by a shell", "HIGH", 0.85, has(r"os\.(system|popen)\s*\(")),
+        Rule("path_traversal", "python", ("call",), "CWE-22", "Path from a variable", "MEDIUM", F.when(extern, 0.80).otherwise(0.55), has(r"\bopen\s*\(") & ~has(r"""open\s*\(\s*["']""")),
+        Rule(
+            "hardcoded_secret", "python", ("assignment",), "CWE-798", "Credential in the source", "HIGH", 0.82,
+            has(r"""(?i)(password|passwd|secret|api_key|apikey|token|auth_token|private_key|access_key|secret_key|credentials)\s*=\s*["'][^"']{4,}["']""") & ~has(r"(?i)(?:your_|example|placeholder|changeme|xxx|todo)"), whole_file=True,
+        ),
+        Rule("go_exec_command_injection", "go", _CALL, "CWE-78", "Command from a variable", _worse(extern), 0.85, has(r"exec\.Command\s*\(") & ~has(r'exec\.Command\s*\(\s*"[^"]+"\s*\)'), whole_file=True),
+        Rule("go_unsafe_pointer", "go", ("qualified_type",), "CWE-242", "Unsafe pointer", "MEDIUM", 0.85, (holds("unsafe.Pointer") | holds("unsafe.Sizeof")) & ~holds("import"), whole_file=True),
+        Rule("go_ignored_error", "go", ("short_var_declaration",), "CWE-390", "Error ignored", "MEDIUM", 0.75, has(r"^\s*\w+\s*,\s*_\s*:?=|^\s*_\s*,\s*\w+\s*:?=|^\s*_\s*=") & ~holds("range ") & ~holds("for "), whole_file=True),
+        Rule("go_fmt_sprintf_injection", "go", _CALL, "CWE-134", "Format string from a variable", "MEDIUM", 0.72, has(r"fmt\.(Sprintf|Fprintf|Printf|Errorf)\s*\(") & ~has(r'fmt\.\w+\s*\(\s*"') & ~has(r'fmt\.Fprintf\s*\(\s*\w+\s*,\s*"'), whole_file=True),
+        Rule("go_hardcoded_secret", "go", ("var_declaration",), "CWE-798", "Credential in the source", "HIGH", 0.82, has(r'(?i)(password|passwd|secret|apiKey|api_key|token|authToken|privateKey|accessKey|secretKey|credentials)\s*[=:]\s*"[^"]{4,}"') & ~has(r"(?i)(?:example|placeholder|your_|changeme)"), whole_file=True),
+    ]
+    return built_in + [make() for make in MORE]
+
+
 #: Rules with an operator of their own, below: name, language, weakness, title, severity, confidence.
 OTHERS = [
     ("use_after_free", "c", "CWE-416", "Use after free", "HIGH", 0.70),
@@ -155,7 +159,7 @@ POINTER_HINTS = ["ptr", "p", "buf", "data", "mem"]
 def line_hits(lines: DataFrame, language: str, *keys: str, src: str = "src") -> DataFrame:
     """``keys, rule_name`` of each line that a rule of the language matches by its line alone, trigger nodes,
     functions and files left aside: one pass, one array of rule names a line."""
-    rules = [r for r in RULES if r.language == language and not r.function and not _uses_callee(r)]
+    rules = [r for r in registry() if r.language == language and not r.function and not _uses_callee(r)]
     marked = lines.withColumn("src", F.col(src)).withColumn("extern_input", F.lit(False))
     found = F.array_compact(F.array(*[F.when(r.when, r.name) for r in rules]))
     return marked.select(*keys, F.explode(found).alias("rule_name"))
@@ -206,14 +210,14 @@ def scan(files: DataFrame, facts: DataFrame, key: str, text: str) -> DataFrame:
     lines = lines.withColumn("src", F.trim("src"))
     functions = P.of_kind(facts, "function", key).select(key, "ord", "name", "line", "end_line", "extern_input", "reachable", "call_depth", "loop_depth")
     nodes = P.of_kind(facts, "node", key)
-    marks = {m: c for r in RULES for m, c in r.function.items()}
+    marks = {m: c for r in registry() for m, c in r.function.items()}
     where = enclosing(lines, functions, [key])
     # marks of a function are taken over its lines; lines outside any function have none
     inside = functions.select(key, F.col("ord").alias("f_ord"), "line", "end_line")
     covered = lines.select(key, F.col("line").alias("at"), "src").join(inside, key).where(F.col("at").between(F.col("line"), F.col("end_line")))
     of_function = covered.groupBy(key, "f_ord").agg(*[F.max(c).alias(m) for m, c in marks.items()])
     where = where.join(of_function, [key, "f_ord"], "left")
-    where = before3(where, [key], L.rlike(r"nullptr|NULL|if\s*\("))
+    where = before3(where, [key], F.col("src").rlike(r"nullptr|NULL|if\s*\("))
     at_node = nodes.select(key, "line", F.col("type").alias("node"), F.col("name").alias("callee"), F.col("ord").alias("node_ord")).distinct()
     triggered = where.join(at_node, [key, "line"])
     triggers = nodes.groupBy(key).agg(F.collect_set("type").alias("types"))
@@ -225,8 +229,8 @@ def scan(files: DataFrame, facts: DataFrame, key: str, text: str) -> DataFrame:
         return found.select(key, "lang", "line", "function_name", "extern_input", "reachable", "call_depth", "loop_depth", "node_ord", "r.*")
 
     safe = lambda d: d.withColumn("extern_input", F.coalesce("extern_input", F.lit(False)))
-    by_node = hits(safe(triggered), [r for r in RULES if not r.whole_file], lambda r: F.col("node").isin(*r.nodes))
-    by_file = hits(safe(in_file), [r for r in RULES if r.whole_file], lambda r: F.arrays_overlap(F.col("types"), F.array(*[F.lit(n) for n in r.nodes])))
+    by_node = hits(safe(triggered), [r for r in registry() if not r.whole_file], lambda r: F.col("node").isin(*r.nodes))
+    by_file = hits(safe(in_file), [r for r in registry() if r.whole_file], lambda r: F.arrays_overlap(F.col("types"), F.array(*[F.lit(n) for n in r.nodes])))
     found = by_node.unionByName(by_file).unionByName(_special(lines, facts, functions, triggers, key))
     found = found.withColumn("function_name", F.coalesce("function_name", F.lit("unknown")))
     boosted = (F.col("severity") == "MEDIUM") & F.coalesce("reachable", F.lit(False)) & F.coalesce("extern_input", F.lit(False))
@@ -252,7 +256,7 @@ def _special(lines: DataFrame, facts: DataFrame, functions: DataFrame, triggers:
     is_use = F.regexp_extract("src", r"\b(\w+)\s*(?:->|\[|\*)", 1) == F.col("ptr")
     best = later.groupBy(key, "_d").agg(F.first("function_name").alias("fn"), F.min(F.when(is_null, F.col("l"))).alias("stop"), F.min(F.when(is_use & ~is_null, F.col("l"))).alias("use"))
     used = best.where(F.col("use").isNotNull() & (F.col("stop").isNull() | (F.col("use") < F.col("stop")))).select(key, "fn", F.col("use").alias("line"))
-    args = lines.where("lang = 'go'").groupBy(key).agg(F.max(F.when(L.rlike(r"os\.Args\["), F.col("line"))).alias("line"), F.max(L.rlike(r"len\s*\(\s*os\.Args\s*\)")).alias("checked"))
+    args = lines.where("lang = 'go'").groupBy(key).agg(F.max(F.when(F.col("src").rlike(r"os\.Args\["), F.col("line"))).alias("line"), F.max(F.col("src").rlike(r"len\s*\(\s*os\.Args\s*\)")).alias("checked"))
     args = args.where("line IS NOT NULL AND NOT checked").join(triggers.where(F.array_contains("types", "selector_expression")), key, "left_semi").select(key, "line")
     args = enclosing(args, functions, [key]).select(key, F.col("function_name").alias("fn"), "line")
     info = functions.select(key, F.col("name").alias("function_name"), "extern_input", "reachable", "call_depth", "loop_depth")
