@@ -89,7 +89,7 @@ def registry() -> list[Rule]:
         Rule("char_array_buffer_issue", "cpp", ("declaration",), "CWE-190", "Fixed character array", "LOW", 0.60, has(r"\bchar\s+\w+\s*\[\s*\d+\s*\]") & ~(holds("const") & holds("=") & holds('"'))),
         Rule(
             "cpp_format_string_injection", "cpp", _CALL, "CWE-134", "Format string from a variable", "HIGH", 0.80,
-            (F.regexp_extract(L, r"^\s*(?:\w+\s*=\s*)?(\w+)\s*\(", 1).isin(*_FORMAT) | callee.isin(*_FORMAT))
+            (F.regexp_extract("src", r"^\s*(?:\w+\s*=\s*)?(\w+)\s*\(", 1).isin(*_FORMAT) | callee.isin(*_FORMAT))
             & ~F.coalesce(F.expr(r"""regexp_like(src, concat(if(regexp_extract(src, '^\\s*(?:\\w+\\s*=\\s*)?(\\w+)\\s*\\(', 1) IN ('printf', 'fprintf', 'sprintf', 'snprintf', 'vprintf'), regexp_extract(src, '^\\s*(?:\\w+\\s*=\\s*)?(\\w+)\\s*\\(', 1), callee), '\\s*\\(\\s*(?:stdout\\s*,\\s*)?["\']'))"""), F.lit(False)),
         ),
         Rule(
