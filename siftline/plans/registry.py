@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import code_queries, finding_queries, references
+from . import code_queries, finding_queries, graph_queries, pipeline_queries, references
 
-MODULES = (code_queries, finding_queries, references)
+MODULES = (code_queries, finding_queries, graph_queries, pipeline_queries, references)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
