@@ -226,7 +226,7 @@ _PY_PREFIX = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"
 
 class Python(Lexer):
     words, signs = G.PYTHON_WORDS, G.PYTHON_SIGNS
-    skipped = r"[ \t\f]+|\\\r?\n|\#[^\n]*"
+    skipped = r"[ \t\f]+|\\\r?\n(?=.)|\#[^\n]*"
     _long = r'(?:"""(?:[^\\]|\\.)*?"""|' + r"'''(?:[^\\]|\\.)*?''')"
     _short = r'(?:"(?:[^"\\\r\n]|\\(?:\r\n|.))*"|' + r"'(?:[^'\\\r\n]|\\(?:\r\n|.))*')"
     tokens = rf'\r?\n[ \t\f]*|\x00|{_PY_PREFIX}(?:{_long}|"""|' + rf"'''|{_short})|{_NAME}|\.?\d(?:[eE][+-](?=\d)|\w|\.)*"
