@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +58,22 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
 def spread(key: F.Column | str, n: int) -> F.Column:
     """0..n-1, evenly by the key's hash."""
     return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once a context, where ``PYTHONPATH`` does not already
+    name its folder: Spark serves a zip of it to the executors."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    named = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root.parent in named or _SHIPPED.get(id(sc)) == sc.applicationId:
+        return
+    place = Path(tempfile.mkdtemp(prefix="siftline-")) / "siftline.zip"
+    with zipfile.ZipFile(place, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(place))
+    _SHIPPED[id(sc)] = sc.applicationId
+
+
+_SHIPPED: dict[int, str] = {}
