@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import fresh, spread
 from ..sources.files import split_lines
 
 # Caps of the structural features, words that branch, and signs of pointers.
@@ -36,32 +37,32 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
-def structural_features(text: Column) -> dict[str, Column]:
-    """The eight structural features of a code, each 0..1; null for a null text.
+def with_structural_features(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """The columns kept and the eight structural features of a code, each 0..1; null for a null text.
 
     Tokens are runs of non-space characters; a call is a word before a bracket; nesting is a quarter of the
     widest indent in spaces, or the widest in a line with tabs.  Words end at anything but ASCII letters, digits
-    and underscores.
+    and underscores.  Lines are split once, in a projection of their own.
     """
-    lines = split_lines(text)
-    full = F.filter(lines, lambda s: s.rlike(r"\S"))
+    t, lines, full, n_branches = fresh([*keep, *FEATURES], "_text", "_lines", "_full", "_branches")
+    rows = spread(df.select(*keep, F.col(text).alias(t))).withColumn(lines, split_lines(F.col(t)))
+    rows = rows.withColumn(full, F.filter(lines, lambda s: s.rlike(r"\S"))).withColumn(n_branches, F.least(count(F.col(t), rf"(?<!\w)(?:{BRANCHES})(?!\w)"), F.lit(MOST["branches"])))
     n = F.size(full)
     indent = lambda s: F.length(s) - F.length(F.regexp_replace(s, r"^[ \t\x0b\f]+", ""))
     depth = F.array_max(F.transform(full, lambda s: F.when(s.contains("\t"), indent(s)).otherwise(F.floor(indent(s) / 4).cast("int"))))
     capped = lambda x, k: F.least(x, F.lit(MOST[k])) / F.lit(float(MOST[k]))
-    branches = F.least(count(text, rf"(?<!\w)(?:{BRANCHES})(?!\w)"), F.lit(MOST["branches"]))
     mean = F.when(n > 0, F.aggregate(full, F.lit(0).cast("bigint"), lambda a, s: a + F.length(s)) / n).otherwise(0.0)
     out = {
-        "n_tokens": capped(count(text, r"\S+"), "tokens"),
+        "n_tokens": capped(count(F.col(t), r"\S+"), "tokens"),
         "n_lines": capped(F.size(lines), "lines"),
         "avg_line_len": F.least(mean / MOST["line_length"], F.lit(1.0)),
-        "n_function_calls": capped(count(text, r"[A-Za-z0-9_]+\s*\("), "calls"),
-        "n_branches": branches / float(MOST["branches"]),
+        "n_function_calls": capped(count(F.col(t), r"(?<![A-Za-z0-9_])[A-Za-z0-9_]++\s*\("), "calls"),
+        "n_branches": F.col(n_branches) / float(MOST["branches"]),
         "max_nesting_depth": capped(F.coalesce(depth, F.lit(0)), "depth"),
-        "has_pointer_ops": F.when(text.rlike(POINTERS), 1.0).otherwise(0.0),
-        "cyclomatic_proxy": (branches + 1) / float(MOST["branches"] + 1),
+        "has_pointer_ops": F.when(F.col(t).rlike(POINTERS), 1.0).otherwise(0.0),
+        "cyclomatic_proxy": (F.col(n_branches) + 1) / float(MOST["branches"] + 1),
     }
-    return {k: F.when(text.isNotNull(), F.round(v, 6)) for k, v in out.items()}
+    return rows.select(*keep, *[F.when(F.col(t).isNotNull(), F.round(v, 6)).alias(k) for k, v in out.items()])
 
 
 def bucket(score: Column) -> Column:

@@ -6,8 +6,10 @@ the enclosing function or the whole file.  All rules are kept in one registry; a
 
 from __future__ import annotations
 
+import operator
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -170,17 +172,17 @@ def _uses_callee(r: Rule) -> bool:
 
 
 def enclosing(points: DataFrame, functions: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
-    """Each point with its enclosing function's columns: the first in order whose lines cover it, else nulls.
+    """Each distinct point with its enclosing function's columns: the first in order whose lines cover it, else
+    nulls.  ``functions`` has ``ord, name, line, end_line`` and more.
 
-    The file is the equality key of the range join.  ``functions`` has ``ord, name, line, end_line`` and more.
-    """
+    The file is the equality key of the range join, and what the join is partitioned by serves the choice of the
+    first as well, so that points are moved once."""
     more = [c for c in functions.columns if c not in keys and c != "lang"]
-    inner = functions.select(*keys, F.struct("ord", *[c for c in more if c != "ord"]).alias("_f"))
-    ids = [c for c in points.columns]
-    numbered = points.withColumn("_id", F.monotonically_increasing_id())
-    near = numbered.select(*keys, "_id", line).join(inner, keys).where(F.col(line).between(F.col("_f.line"), F.col("_f.end_line")))
-    best = near.groupBy("_id").agg(F.min_by("_f", F.col("_f.ord")).alias("_f"))
-    return numbered.join(best, "_id", "left").select(*ids, *[F.col(f"_f.{c}").alias("f_ord" if c == "ord" else {"name": "function_name", "line": "f_line", "end_line": "f_end"}.get(c, c)) for c in more])
+    inner = functions.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("ord", *[c for c in more if c != "ord"]).alias("_f"))
+    on = [F.col(k) == F.col(f"_{k}") for k in keys]
+    near = points.join(inner, [*on, F.col(line).between(F.col("_f.line"), F.col("_f.end_line"))], "left")
+    best = near.groupBy(*points.columns).agg(F.min("_f").alias("_f"))
+    return best.select(*points.columns, *[F.col(f"_f.{c}").alias("f_ord" if c == "ord" else {"name": "function_name", "line": "f_line", "end_line": "f_end"}.get(c, c)) for c in more])
 
 
 def before3(lines: DataFrame, keys: list[str], check: Column) -> DataFrame:
@@ -214,7 +216,8 @@ def scan(files: DataFrame, facts: DataFrame, key: str, text: str) -> DataFrame:
     where = enclosing(lines, functions, [key])
     # marks of a function are taken over its lines; lines outside any function have none
     inside = functions.select(key, F.col("ord").alias("f_ord"), "line", "end_line")
-    covered = lines.select(key, F.col("line").alias("at"), "src").join(inside, key).where(F.col("at").between(F.col("line"), F.col("end_line")))
+    any_mark = reduce(operator.or_, marks.values())
+    covered = lines.where(any_mark).select(key, F.col("line").alias("at"), "src").join(inside, key).where(F.col("at").between(F.col("line"), F.col("end_line")))
     of_function = covered.groupBy(key, "f_ord").agg(*[F.max(c).alias(m) for m, c in marks.items()])
     where = where.join(of_function, [key, "f_ord"], "left")
     where = before3(where, [key], F.col("src").rlike(r"nullptr|NULL|if\s*\("))

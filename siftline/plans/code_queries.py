@@ -20,8 +20,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def structural_features(spark: SparkSession, folder: str) -> DataFrame:
-    rows = table(spark, folder, "samples").where("raw_code IS NOT NULL")
-    return rows.select("sample_id", *[v.alias(k) for k, v in C.structural_features(F.col("raw_code")).items()])
+    return C.with_structural_features(table(spark, folder, "samples").where("raw_code IS NOT NULL"), "raw_code", ["sample_id"])
 
 
 def line_explode_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,8 +30,7 @@ def line_explode_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def risk_rank_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Documents by a risk made of their structural features over their maxima, with severities and ranks."""
-    docs = table(spark, folder, "documents").where("text IS NOT NULL").select("doc_id", "source", *[v.alias(k) for k, v in C.structural_features(F.col("text")).items()])
-    docs = cut(docs)
+    docs = cut(C.with_structural_features(table(spark, folder, "documents").where("text IS NOT NULL"), "text", ["doc_id", "source"]))
     x = dataset.normalised(docs, C.FEATURES)
     score = 0.5 * (0.5 * F.col("n_function_calls") + 0.3 * F.col("has_pointer_ops") + 0.2 * F.col("n_tokens")) + 0.35 * (0.6 * F.col("n_branches") + 0.4 * F.col("cyclomatic_proxy")) + 0.15 * (0.5 * F.col("max_nesting_depth") + 0.3 * F.col("n_lines") + 0.2 * F.col("avg_line_len"))
     return x.select("doc_id", "source", F.round(score, 5).alias("risk")).withColumn("severity", C.bucket(F.col("risk"))).orderBy(F.desc("risk"), "doc_id")

@@ -77,3 +77,15 @@ def ship(spark: SparkSession) -> None:
 
 
 _SHIPPED: dict[int, str] = {}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan whose files make fewer partitions than there are cores, dealt out evenly; any other as it is.
+
+    Small or badly written files would else leave a costly stage to one task; at scale, inputs have more splits
+    than there are cores, and nothing is moved."""
+    run = df._jdf.queryExecution()
+    if "Exchange" in run.executedPlan().toString():
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if run.toRdd().getNumPartitions() < cores else df

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Calls that allocate and free, where programs start, and marks of input from outside.
 ALLOCATING = {"c": {"malloc", "calloc", "realloc"}, "cpp": {"new"}, "go": {"make", "new"}}
 FREEING = {"c": {"free"}, "cpp": {"delete", "delete[]", "free"}}
@@ -450,7 +452,7 @@ def facts(files: DataFrame, *, text: str, lang: str, keep: tuple[str, ...]) -> D
         take = pa.array(at, pa.int64())
         return pa.RecordBatch.from_arrays([*[b[k].take(take) for k in kept], b["lang"].take(take), *[pa.array(cols[c], t) for c, t in COLUMNS.items()]], [*kept, "lang", *COLUMNS])
 
-    out = rows.mapInArrow(run, ", ".join([*[f"{k} {types[k]}" for k in kept], "lang string", SCHEMA]))
+    out = spread(rows).mapInArrow(run, ", ".join([*[f"{k} {types[k]}" for k in kept], "lang string", SCHEMA]))
     return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "lang", *COLUMNS)
 
 

@@ -78,7 +78,7 @@ def test_decisions(spark):
 
 def test_structural_features_edges(spark):
     t = spark.createDataFrame([(1, ""), (2, None), (3, "\n\n"), (4, "\tif (x) {\r\n\t\ty = *p;\r\n"), (5, "        a\n"), (6, "x " * 5000)], "id int, t string")
-    got = {r.id: r for r in t.select("id", *[v.alias(k) for k, v in C.structural_features(F.col("t")).items()]).collect()}
+    got = {r.id: r for r in C.with_structural_features(t, "t", ["id"]).collect()}
     assert got[1].n_lines == 0 and got[2].n_lines is None and got[3].n_lines == 0.01
     assert got[4].max_nesting_depth == 0.1 and got[4].has_pointer_ops == 1 and got[5].max_nesting_depth == 0.1 and got[6].n_tokens == 1
 
