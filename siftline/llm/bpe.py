@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Where the public tokenizers' vocabulary files are.
 FOLDER = os.environ.get("PUBLIC_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
@@ -215,7 +217,7 @@ def encoded(df: DataFrame, *, id_: str, text: str, folder: str = FOLDER, name: s
                 yield pa.RecordBatch.from_arrays([b["id"].slice(at, len(part)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))], ["id", "ids"])
                 at += len(part)
 
-    return df.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, ids array<int>")
+    return spread(df.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text"))).mapInArrow(run, "id bigint, ids array<int>")
 
 
 def counted(df: DataFrame, *, id_: str, text: str, folder: str = FOLDER, name: str = NAME) -> DataFrame:
@@ -227,4 +229,4 @@ def counted(df: DataFrame, *, id_: str, text: str, folder: str = FOLDER, name: s
             n = [len(x) for part in _parts(b["text"]) for x in e.encode(part)]
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(n, pa.int64())], ["id", "n"])
 
-    return df.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, n bigint")
+    return spread(df.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text"))).mapInArrow(run, "id bigint, n bigint")

@@ -23,6 +23,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Characters that can't be seen, single spaces, and letters drawn like Latin ones.
 UNSEEN = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x180B, 0x180E), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10), *range(0xFFF9, 0xFFFC), *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0), *range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA0)]
 SPACES = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
@@ -32,6 +34,18 @@ GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϳο"
 GREEK_AS = "ABEZHIKMNOPTYXCjo"
 FULL_WIDTH_SIGNS, FULL_WIDTH_AS = "￠￡￢￣￤￥￦", "¢£¬¯¦¥₩"
 
+
+
+def _ranges(codes: list[int]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for c in sorted(codes):
+        if out and out[-1][1] == c - 1:
+            out[-1] = (out[-1][0], c)
+        else:
+            out.append((c, c))
+    return out
+
+
 _JOINER, _EMOJI_FORM = "\ue0fe", "\ue0ff"
 ALIKE = {**dict(zip(CYRILLIC.replace(" ", ""), CYRILLIC_AS.replace(" ", ""), strict=True)), **dict(zip(GREEK, GREEK_AS, strict=True))}
 TABLE: dict[int, str | None] = {
@@ -43,7 +57,7 @@ TABLE: dict[int, str | None] = {
     ord(_JOINER): "\u200d",
     ord(_EMOJI_FORM): "\ufe0f",
 }
-_UNSEEN_CLASS = "".join(f"\\U{c:08x}" for c in UNSEEN)
+_UNSEEN_CLASS = "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in _ranges(UNSEEN))
 _WORD = regex.compile(rf"[{_UNSEEN_CLASS}]*\p{{L}}[\p{{L}}\p{{M}}{_UNSEEN_CLASS}]*")
 # a joiner between two emoji makes another picture, and a variation selector after one changes how it is drawn
 _EMOJI = r"[\p{Extended_Pictographic}\U0001f3fb-\U0001f3ff]"
@@ -171,7 +185,7 @@ def vocabulary(df: DataFrame, text: str, most: int = MOST_WORDS) -> dict[str, st
                     words[k, s] += n
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in words], pa.string()), pa.array([s for _, s in words], pa.string()), pa.array(list(words.values()), pa.int64())], ["k", "s", "n"])
 
-    words = df.select(F.col(text).alias("text")).where(F.col("text").isNotNull()).mapInArrow(run, "k string, s string, n bigint")
+    words = spread(df.select(F.col(text).alias("text")).where(F.col("text").isNotNull())).mapInArrow(run, "k string, s string, n bigint")
     each = words.groupBy("k", "s").agg(F.sum("n").alias("n"))
     best = each.groupBy("k").agg(F.min_by("s", F.struct(-F.col("n"), F.col("s"))).alias("s"), F.sum("n").alias("n"))
     top = best.orderBy(F.desc("n"), "k").limit(most).select("k", "s").toPandas()
@@ -192,7 +206,7 @@ def forms(df: DataFrame, *, id_: str, text: str, words: dict[str, str] | None =
             yield pa.RecordBatch.from_arrays([b["id"], pa.array(done, pa.string()), b["text_key"]], ["id", "form", "text_key"])
 
     rows = df.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text"), F.md5(F.col(text).cast("binary")).alias("text_key"))
-    return rows.mapInArrow(run, "id bigint, form string, text_key string")
+    return spread(rows).mapInArrow(run, "id bigint, form string, text_key string")
 
 
 def alike(forms_: DataFrame) -> DataFrame:

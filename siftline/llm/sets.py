@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bloom
+from ..session import spread
 from . import shingles as S
 
 #: Segments of the popcount embedding: the hash space is cut into so many equal parts.
@@ -25,7 +26,7 @@ ROWS = "id bigint, cls bigint, n int, vec array<int>, shingle bigint, df bigint,
 
 def prepared(df: DataFrame, id_: str, text: str, tag: Column) -> DataFrame:
     """The columns needed, under fixed names; null texts are left out, so is a null tag."""
-    return df.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text"), tag.alias("tag")).where("text IS NOT NULL AND tag IS NOT NULL AND id IS NOT NULL")
+    return spread(df.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text"), tag.alias("tag")).where("text IS NOT NULL AND tag IS NOT NULL AND id IS NOT NULL"))
 
 
 def _tag_hash(tags: pa.Array) -> np.ndarray:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 LIMIT, OVERLAP = 4000, 200
 #: Weights of a cut against an unevenness of one whole piece: after a block that stands alone; at a blank line;
 #: at a line's end, by the depth of the next line; at a space; anywhere.
@@ -168,4 +170,4 @@ def pieces(df: DataFrame, *, id_: str, text: str, limit: int = LIMIT, overlap: i
         return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], ["id", "piece_no", "start", "text"])
 
     long = df.select(F.col(id_).cast("bigint").alias("id"), F.col(text).alias("text")).where(F.length("text") > limit)
-    return long.mapInArrow(run, "id bigint, piece_no int, start bigint, text string")
+    return spread(long).mapInArrow(run, "id bigint, piece_no int, start bigint, text string")

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import grammars as G
 from . import lexers as L
 from .gll import Grammar
@@ -74,7 +75,7 @@ def checked(df: DataFrame, *, id_: str, text: str, language: str, keep: tuple[st
             yield pa.RecordBatch.from_arrays([b["id"], b["language"], pa.array(broken, pa.bool_()), *[b[k] for k in kept]], ["id", "language", "broken", *kept])
 
     schema = ["id bigint", "language string", "broken boolean", *[f"{k} {dict(rows.dtypes)[k]}" for k in kept]]
-    out = rows.select("id", "language", "text", *kept).mapInArrow(run, ", ".join(schema))
+    out = spread(rows.select("id", "language", "text", *kept)).mapInArrow(run, ", ".join(schema))
     return out.select("id", "language", "broken", *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)])
 
 
