@@ -74,8 +74,8 @@ def might_contain(bloom: Column, hash_: Column, bits: int = DEFAULT_BITS) -> Col
 def collect(words: DataFrame, bits: int) -> np.ndarray:
     """The filter as numpy words, for stages that run in Python; at most ``MOST_BITS`` bits reach the driver."""
     out = np.zeros(bits >> 6, np.uint64)
-    found = words.toPandas()
-    out[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.int64).view(np.uint64)
+    found = words.toArrow()
+    out[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
     return out
 
 
