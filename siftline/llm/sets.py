@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bloom
-from ..session import spread
+from ..session import commonest, spread
 from . import shingles as S
 
 #: Segments of the popcount embedding: the hash space is cut into so many equal parts.
@@ -99,9 +99,11 @@ def _batch(**columns: pa.Array) -> pa.RecordBatch:
 def frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent shingles of the whole collection and their row counts, sorted by shingle; at most
     ``MOST_FREQUENT``.  They only put an order on shingles: whichever are listed, no pair is lost."""
-    top = rows.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "shingle").limit(MOST_FREQUENT).toPandas()
-    top = top.sort_values("shingle")
-    return top["shingle"].to_numpy().astype(np.uint64), top["df"].to_numpy().astype(np.int64)
+    counts = rows.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("df").alias("df"))
+    top = commonest(counts, "df", MOST_FREQUENT).toArrow()
+    shingle, df_ = top["shingle"].to_numpy(), top["df"].to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order].astype(np.uint64), df_[order].astype(np.int64)
 
 
 def sets_of(df: DataFrame, wanted: DataFrame, width: int, least: int, bits: int) -> DataFrame:
