@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import commonest, spread
 
 # Characters that can't be seen, single spaces, and letters drawn like Latin ones.
 UNSEEN = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x180B, 0x180E), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10), *range(0xFFF9, 0xFFFC), *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0), *range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA0)]
@@ -169,7 +169,7 @@ class Vocabulary:
 
 
 def vocabulary(df: DataFrame, text: str, most: int = MOST_WORDS) -> dict[str, str]:
-    """Classes to spelling of the ``most`` commonest single-script words of all texts: of the spellings of
+    """Classes to spelling of the commonest single-script words of all texts, at most ``most``: of the spellings of
     equal classes the commonest, of equally common the first in order. Words whose classes are all Latin
     letters are left to the table."""
 
@@ -188,8 +188,8 @@ def vocabulary(df: DataFrame, text: str, most: int = MOST_WORDS) -> dict[str, st
     words = spread(df.select(F.col(text).alias("text")).where(F.col("text").isNotNull())).mapInArrow(run, "k string, s string, n bigint")
     each = words.groupBy("k", "s").agg(F.sum("n").alias("n"))
     best = each.groupBy("k").agg(F.min_by("s", F.struct(-F.col("n"), F.col("s"))).alias("s"), F.sum("n").alias("n"))
-    top = best.orderBy(F.desc("n"), "k").limit(most).select("k", "s").toPandas()
-    return dict(zip(top["k"], top["s"], strict=True))
+    top = commonest(best, "n", most).select("k", "s").toArrow()
+    return dict(zip(top["k"].to_pylist(), top["s"].to_pylist(), strict=True))
 
 
 def forms(df: DataFrame, *, id_: str, text: str, words: dict[str, str] | None = None) -> DataFrame:
