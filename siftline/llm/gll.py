@@ -20,6 +20,8 @@ import re
 _TOKEN = re.compile(r"\s*(?:#[^\n]*)?\s*('[^']*'|[A-Za-z_][A-Za-z_0-9]*|[][{}()|=;])")
 BRACKETS = {"(": ")", "[": "]", "{": "}", "\x01": "\x02"}  # the last pair: indent and dedent
 CLOSERS = {v: k for k, v in BRACKETS.items()}
+#: States, nodes and runs that a process remembers, about 150 MB, and the tokens of the longest run among them.
+MOST_KEPT, LONGEST_KEPT = 500_000, 256
 
 
 class Rule:
@@ -348,13 +350,14 @@ class Grammar:
                 break
         else:
             out = (tuple(stack), now)
-        self.size += 1
-        s.runs[kinds] = out
+        if len(kinds) <= LONGEST_KEPT:
+            self.size += 1
+            s.runs[kinds] = out
         return out
 
     def accepts(self, starts: frozenset, chunks: list[str]) -> bool:
         """Whether the tokens, given in runs, are a text of one of the start rules."""
-        if self.size > 2_000_000:  # what is remembered has a bound; it builds up again
+        if self.size > MOST_KEPT:  # what is remembered has a bound; it builds up again
             self.nodes, self.states, self.starts, self.size = {}, {}, {}, 0
         now = self.start(starts)
         stack: list = []

@@ -14,7 +14,7 @@ _CLASSES = {"NAME": "a", "NUM": "0", "STR": "s", "CHAR": "c", "BYTES": "b", "NEW
 WRONG = "?"
 _IF, _ELSE, _ENDIF = "\ue001", "\ue002", "\ue003"
 #: Spellings remembered per language, before they are forgotten and learnt anew.
-_MOST = 400_000
+_MOST = 200_000
 
 
 def kinds(words: str, signs: str) -> dict[str, str]:
