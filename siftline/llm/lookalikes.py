@@ -107,6 +107,7 @@ class Vocabulary:
                 node = node.setdefault(TABLE.get(ord(c), c), {})
             node[""] = w
         self.cache: dict[str, str] = {}
+        self.pieces: dict[str, str] = {}
 
     def follow(self, word: str, budget: int = 0) -> list[tuple[int, str]]:
         """Spellings within the budget and their costs, cheapest first. Unseen characters and letters of one
@@ -156,7 +157,11 @@ class Vocabulary:
         """The text's one form."""
         if text.isascii():
             return _CONTROL.sub("", text)
-        text = protected(text)
+        text = protected(_CONTROL.sub("", text))
+        # no word crosses a plain space, so that pieces between them can be remembered
+        return unicodedata.normalize("NFC", " ".join([p if p.isascii() else self.pieces.get(p) or self.piece(p) for p in text.split(" ")]))
+
+    def piece(self, text: str) -> str:
         out, at = [], 0
         for m in _WORD.finditer(text):
             if m.start() > at:
@@ -165,7 +170,12 @@ class Vocabulary:
             out.append(word if word.isascii() else self.spell(word))
             at = m.end()
         out.append(unicodedata.normalize("NFD", text[at:]).translate(TABLE))
-        return unicodedata.normalize("NFC", "".join(out))
+        done = "".join(out)
+        if len(text) <= LONGEST_WORD:
+            if len(self.pieces) > _KEPT:
+                self.pieces.clear()
+            self.pieces[text] = done
+        return done
 
 
 def vocabulary(df: DataFrame, text: str, most: int = MOST_WORDS) -> dict[str, str]:
@@ -175,10 +185,15 @@ def vocabulary(df: DataFrame, text: str, most: int = MOST_WORDS) -> dict[str, st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            count: Counter = Counter()
+            pieces: Counter = Counter()
             for t in b["text"].to_pylist():
                 if not t.isascii():
-                    count.update(w for w in _WORD.findall(t) if not w.isascii())
+                    pieces.update(p for p in t.split() if not p.isascii())
+            count: Counter = Counter()
+            for p, n in pieces.items():
+                for w in _WORD.findall(p):
+                    if not w.isascii():
+                        count[w] += n
             words: Counter = Counter()
             for w, n in count.items():
                 if (s := spelling(w)) is not None and not (k := classes(s)).isascii():
