@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import commonest, spread
+from ..session import commonest, cut, spread
 
 # Characters that can't be seen, single spaces, and letters drawn like Latin ones.
 UNSEEN = [0xAD, 0x34F, 0x61C, 0x180E, *range(0x180B, 0x180E), *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070), 0xFEFF, *range(0xFE00, 0xFE10), *range(0xFFF9, 0xFFFC), *range(0xE0000, 0xE0080), *range(0xE0100, 0xE01F0), *range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA0)]
@@ -229,7 +229,7 @@ def alike(forms_: DataFrame) -> DataFrame:
 
     Pairs are made of different texts first and of their rows then, so that many copies of one text are never
     compared with each other."""
-    rows = forms_.where("form IS NOT NULL").select("id", F.md5(F.col("form").cast("binary")).alias("f"), F.col("text_key").alias("t"))
+    rows = cut(forms_.where("form IS NOT NULL").select("id", F.md5(F.col("form").cast("binary")).alias("f"), F.col("text_key").alias("t")))
     texts = rows.select("f", "t").distinct()
     several = texts.groupBy("f").agg(F.count("*").alias("k")).where("k > 1").select("f")
     texts = texts.join(several, "f", "left_semi")
