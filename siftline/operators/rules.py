@@ -172,17 +172,15 @@ def _uses_callee(r: Rule) -> bool:
 
 
 def enclosing(points: DataFrame, functions: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
-    """Each distinct point with its enclosing function's columns: the first in order whose lines cover it, else
-    nulls.  ``functions`` has ``ord, name, line, end_line`` and more.
-
-    The file is the equality key of the range join, and what the join is partitioned by serves the choice of the
-    first as well, so that points are moved once."""
+    """Each point with its enclosing function's columns: the first in order whose lines cover it, else nulls.
+    ``functions`` has ``ord, name, line, end_line`` and more; those of one file make one array, so that the range
+    join is an equality join on the file and no pair of point and function is ever a row."""
     more = [c for c in functions.columns if c not in keys and c != "lang"]
-    inner = functions.select(*[F.col(k).alias(f"_{k}") for k in keys], F.struct("ord", *[c for c in more if c != "ord"]).alias("_f"))
-    on = [F.col(k) == F.col(f"_{k}") for k in keys]
-    near = points.join(inner, [*on, F.col(line).between(F.col("_f.line"), F.col("_f.end_line"))], "left")
-    best = near.groupBy(*points.columns).agg(F.min("_f").alias("_f"))
-    return best.select(*points.columns, *[F.col(f"_f.{c}").alias("f_ord" if c == "ord" else {"name": "function_name", "line": "f_line", "end_line": "f_end"}.get(c, c)) for c in more])
+    ordered = F.struct("ord", *[c for c in more if c != "ord"])
+    of_file = functions.groupBy(*keys).agg(F.sort_array(F.collect_list(ordered)).alias("_fs"))
+    covers = lambda f: (f["line"] <= F.col(line)) & (F.col(line) <= f["end_line"])
+    near = points.join(of_file, keys, "left").withColumn("_f", F.get(F.filter("_fs", covers), F.lit(0)))
+    return near.select(*points.columns, *[F.col(f"_f.{c}").alias("f_ord" if c == "ord" else {"name": "function_name", "line": "f_line", "end_line": "f_end"}.get(c, c)) for c in more])
 
 
 def before3(lines: DataFrame, keys: list[str], check: Column) -> DataFrame:
@@ -213,13 +211,12 @@ def scan(files: DataFrame, facts: DataFrame, key: str, text: str) -> DataFrame:
     functions = P.of_kind(facts, "function", key).select(key, "ord", "name", "line", "end_line", "extern_input", "reachable", "call_depth", "loop_depth")
     nodes = P.of_kind(facts, "node", key)
     marks = {m: c for r in registry() for m, c in r.function.items()}
-    where = enclosing(lines, functions, [key])
     # marks of a function are taken over its lines; lines outside any function have none
-    inside = functions.select(key, F.col("ord").alias("f_ord"), "line", "end_line")
+    inside = functions.select(key, "ord", "line", "end_line")
     any_mark = reduce(operator.or_, marks.values())
     covered = lines.where(any_mark).select(key, F.col("line").alias("at"), "src").join(inside, key).where(F.col("at").between(F.col("line"), F.col("end_line")))
-    of_function = covered.groupBy(key, "f_ord").agg(*[F.max(c).alias(m) for m, c in marks.items()])
-    where = where.join(of_function, [key, "f_ord"], "left")
+    of_function = covered.groupBy(key, "ord").agg(*[F.max(c).alias(m) for m, c in marks.items()])
+    where = enclosing(lines, functions.join(of_function, [key, "ord"], "left"), [key])
     where = before3(where, [key], F.col("src").rlike(r"nullptr|NULL|if\s*\("))
     at_node = nodes.select(key, "line", F.col("type").alias("node"), F.col("name").alias("callee"), F.col("ord").alias("node_ord")).distinct()
     triggered = where.join(at_node, [key, "line"])

@@ -309,6 +309,11 @@ def partial_dependence(spark: SparkSession, folder: str) -> DataFrame:
     return models.partial_dependence(rows, b, dataset.FEATURES, "cwe_cvss_score")
 
 
+def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
+    rows = cut(_vectors(spark, folder).withColumn("label", F.col("taint_confirmed").cast("int")).drop("exploit_prob").withColumnRenamed("risk_score", "target"))
+    return models.cross_validated(rows, dataset.FEATURES, "label", "target", "finding_id", 3)
+
+
 _ONCE = "o AS (SELECT * FROM scored_vulns QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY ingested_at) = 1)"
 _BUCKET = "CASE WHEN {0} IS NULL THEN NULL WHEN {0} >= 0.9 THEN 'CRITICAL' WHEN {0} >= 0.7 THEN 'HIGH' WHEN {0} >= 0.45 THEN 'MEDIUM' WHEN {0} >= 0.2 THEN 'LOW' ELSE 'INFO' END"
 _CVSS = "CASE cwe " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in C.CVSS.items()) + " ELSE 5.0 END"
@@ -396,5 +401,5 @@ SELECT 'mae' AS measure, round(avg(mae), 6) AS mean, round(stddev_pop(mae), 6) A
 
 
 def queries():  # noqa: ANN201
-    listed = (finding_counts, report_summary, scored_summary, recon_counts, finding_dedup_first, findings_in_order, top7_cwes, standard_in_force, citation_lookup, base_scores, decision_join, decisions_by_file, strategy_lookup, tiered_lookup, theta_first_after, repeated_key_group, before_after_diff, fixed_findings, remaining_findings, fix_rate, total_fix_rate, path_or_name, covering_findings, json_extract_decision, heuristic_risk, severity_buckets, ensemble_score, feature_vectors, composite_risk, column_maxima, feature_profile, weak_labels_flipped, percentile_split, class_balance, stratified_split, confusion_metrics, roc_points, precision_recall_points, areas_under_curves, regression_metrics, corr_matrix, interaction_matrix, fold_metrics, smote_like, gaussian_augment, gbt_rf_score, partial_dependence)
+    listed = (finding_counts, report_summary, scored_summary, recon_counts, finding_dedup_first, findings_in_order, top7_cwes, standard_in_force, citation_lookup, base_scores, decision_join, decisions_by_file, strategy_lookup, tiered_lookup, theta_first_after, repeated_key_group, before_after_diff, fixed_findings, remaining_findings, fix_rate, total_fix_rate, path_or_name, covering_findings, json_extract_decision, heuristic_risk, severity_buckets, ensemble_score, feature_vectors, composite_risk, column_maxima, feature_profile, weak_labels_flipped, percentile_split, class_balance, stratified_split, confusion_metrics, roc_points, precision_recall_points, areas_under_curves, regression_metrics, corr_matrix, interaction_matrix, fold_metrics, smote_like, gaussian_augment, gbt_rf_score, partial_dependence, cross_validation)
     return {f.__name__: f for f in listed} | {"top20_findings": top20_findings, "top15_chart": top15_chart, "top5_risk": top5_risk} | {f"weak_labels_{s}": _weak(s) for s in dataset.STRATEGIES}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # The extensions scanned, their languages, and the folders left out.
 EXTENSIONS = {"c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "java": "java", "py": "python", "go": "go"}
 SKIPPED = ["__pycache__", ".git", ".svn", ".hg", "node_modules", "vendor", "venv", ".venv", "env", "dist", "build", "target", ".idea"]
@@ -59,7 +61,7 @@ def split_lines(text: Column) -> Column:
 
 def lines(files: DataFrame, text: str, *keep: str, line: str = "line", src: str = "src") -> DataFrame:
     """One row a line: the columns kept, the number from 1, and the line itself. Null texts have none."""
-    each = files.select(*keep, F.posexplode(split_lines(F.col(text))).alias("_pos", src))
+    each = spread(files.select(*keep, text)).select(*keep, F.posexplode(split_lines(F.col(text))).alias("_pos", src))
     return each.select(*keep, (F.col("_pos") + 1).alias(line), src)
 
 

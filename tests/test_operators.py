@@ -104,6 +104,8 @@ def test_models(spark):
     assert sum((r.exploit_prob > 0.5) == bool(r.label) for r in out) > 360
     pd = [r.mean for r in models.partial_dependence(t, b, dataset.FEATURES, "cwe_cvss_score", 5).orderBy("value").collect()]
     assert len(pd) == 5 and pd[0] < pd[-1]
+    cv = {r.measure: r.mean for r in models.cross_validated(t, dataset.FEATURES, "label", "target", "id", 2).collect()}
+    assert set(cv) == {"accuracy", "precision", "recall", "f1", "mae", "rmse", "r2"} and cv["accuracy"] > 0.7 and cv["r2"] > 0.3
 
 
 def test_reports(spark):

@@ -7,7 +7,7 @@ from siftline.plans import registry
 from .comparing import connected, rows_of, rows_of_sql
 
 #: Queries that train models: run once elsewhere.
-SLOW = {"gbt_rf_score", "partial_dependence", "patch_diffs", "patch_verification"}
+SLOW = {"gbt_rf_score", "partial_dependence", "cross_validation", "patch_diffs", "patch_verification"}
 
 
 @pytest.fixture(scope="module")
