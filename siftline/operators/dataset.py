@@ -22,6 +22,17 @@ def uniform(id_: Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(id_.cast("string"), F.lit("|" + salt)).cast("binary")), 1, 13), 16, 10).cast("bigint") / float(16**13)
 
 
+def smallest(table: DataFrame, value: Column, k: int, slots: int = 4096) -> float:
+    """The k-th smallest of values in [0, 1), or 1 if there are fewer: counts by slot go to the driver, and of the
+    one slot in which it lies the first that are needed; never k rows."""
+    v = table.select(value.alias("v")).where("v IS NOT NULL").withColumn("s", F.floor(F.col("v") * slots).cast("int"))
+    for r in v.groupBy("s").agg(F.count("*").alias("n")).orderBy("s").collect():
+        if k <= r["n"]:
+            return v.where(F.col("s") == r["s"]).orderBy("v").limit(k).agg(F.max("v")).first()[0]
+        k -= r["n"]
+    return 1.0
+
+
 def normal(id_: Column, salt: str) -> Column:
     """A standard normal number fixed by the id."""
     return F.sqrt(-2.0 * F.log(1.0 - uniform(id_, salt + "u"))) * F.cos(2.0 * math.pi * uniform(id_, salt + "v"))
@@ -79,9 +90,8 @@ def weak_labels(table: DataFrame, score: str, strategy: str = "moderate", id_: s
     kept = table.where((F.col(score) > high) | (F.col(score) < low)).withColumn("label", (F.col(score) > high).cast("int"))
     if id_ is None:
         return kept
-    n = kept.count()
-    flips = kept.select(uniform(F.col(id_), "flip").alias("_u")).orderBy("_u").limit(max(1, int(n * share))).agg(F.max("_u")).first()[0]
-    return kept.withColumn("label", F.when(uniform(F.col(id_), "flip") <= F.lit(flips), 1 - F.col("label")).otherwise(F.col("label"))) if flips is not None else kept
+    most = smallest(kept, uniform(F.col(id_), "flip"), max(1, int(kept.count() * share)))
+    return kept.withColumn("label", F.when(uniform(F.col(id_), "flip") <= F.lit(most), 1 - F.col("label")).otherwise(F.col("label")))
 
 
 def percentile_split(table: DataFrame, score: str, low: float = 0.3, high: float = 0.7) -> DataFrame:
@@ -150,7 +160,9 @@ def oversampled(table: DataFrame, label: str, id_: str, columns: list[str]) -> D
     pairs = pairs.withColumn("_c", F.explode(F.sequence(F.lit(1), F.lit(copies))))
     at = uniform(F.concat(F.col(id_).cast("string"), F.lit("#"), F.col("_c").cast("string")), "between")
     new = pairs.withColumn("_u", at).withColumns({c: F.col(c) + F.col("_u") * (F.col(f"_{c}") - F.col(c)) for c in columns}).withColumn("synthetic", F.lit(True))
-    new = new.orderBy("_c", F.md5(F.col(id_).cast("string").cast("binary"))).limit(max(n.values()) - n[few])
+    wanted = max(n.values()) - n[few] - (copies - 1) * n[few]  # of the last copies only so many
+    last = new.where(F.col("_c") == copies)
+    new = new.where((F.col("_c") < copies) | (F.col("_u") <= smallest(last, F.col("_u"), wanted)))
     return marked.unionByName(new.select(*marked.columns))
 
 

@@ -244,7 +244,7 @@ def _special(lines: DataFrame, facts: DataFrame, functions: DataFrame, triggers:
     hint = F.exists("args", lambda a: F.exists(F.array(*[F.lit(h) for h in POINTER_HINTS]), lambda h: a.contains(h)))
     after = first_after(
         allocs.where("lang = 'c' AND freed").select(key, "fn", F.col("free_line").alias("at"), F.col("ord").alias("a")),
-        calls.where(F.col("lang") == "c").where(hint).select(key, "fn", "line", F.col("ord").alias("o")), [key, "fn"], ["a"], "at", "line", "o",
+        calls.where(F.col("lang") == "c").where(hint).select(key, "fn", "line", F.col("ord").alias("o")), [key, "fn"], ["a"], "at", "line", "o", lambda t: F.floor(t / 4096),
     )
     frees = calls.where("lang = 'c' AND name = 'free' AND size(args) > 0").select(key, "fn", F.expr("trim(BOTH '&* ' FROM args[0])").alias("arg"), "line")
     twice = repeated(frees, [key, "fn", "arg"], "line").where("n >= 2").select(key, "fn", F.col("last").alias("line"))
@@ -268,12 +268,23 @@ def _special(lines: DataFrame, facts: DataFrame, functions: DataFrame, triggers:
     return out
 
 
-def first_after(left: DataFrame, right: DataFrame, keys: list[str], id_: list[str], at: str, line: str, order: str) -> DataFrame:
+def first_after(left: DataFrame, right: DataFrame, keys: list[str], id_: list[str], at: str, line: str, order: str, bucket: Callable[[Column], Column]) -> DataFrame:
     """Of each left row the first right row of equal keys, in ``order``, whose ``line`` is after ``at``; left
-    rows without one drop out.  A minimum per left row is kept, never the list of its partners."""
-    joined = left.join(right, keys).where(F.col(line) > F.col(at))
-    best = joined.groupBy(*keys, *id_).agg(F.min_by(F.struct(*dict.fromkeys(c for c in [line, at, *right.columns] if c not in keys)), F.col(order)).alias("_b"))
-    return best.select(*keys, *id_, "_b.*")
+    rows without one drop out.
+
+    No pairs are made: a running minimum from the last line back gives each place the first of those after it.
+    ``bucket`` cuts lines into ranges, each of which is a group of its own; the minima of later ranges are carried
+    over, so that a key of many rows is not one task's work."""
+    take = [c for c in right.columns if c not in keys]
+    best = F.struct(F.col(order).alias("_o"), *take)
+    a = left.select(*keys, *id_, F.col(at).alias("_t"), F.lit(0).alias("_r"), F.lit(None).cast(right.select(best.alias("x")).schema["x"].dataType).alias("_b"))
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in left.select(*id_).dtypes]
+    rows = a.unionByName(right.select(*keys, *nothing, F.col(line).alias("_t"), F.lit(1).alias("_r"), best.alias("_b"))).withColumn("_k", bucket(F.col("_t")))
+    w = Window.partitionBy(*keys, "_k").orderBy(F.desc("_t"), "_r").rowsBetween(Window.unboundedPreceding, 0)
+    per = rows.groupBy(*keys, "_k").agg(F.min("_b").alias("_b"))
+    later = per.select(*keys, "_k", F.min("_b").over(Window.partitionBy(*keys).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+    found = rows.withColumn("_in", F.min("_b").over(w)).where("_r = 0").join(later, [*keys, "_k"], "left").withColumn("_b", F.least("_in", "_later")).where("_b IS NOT NULL")
+    return found.select(*keys, *id_, F.col("_t").alias(at), *[F.col(f"_b.{c}").alias(c) for c in take])
 
 
 def repeated(rows: DataFrame, keys: list[str], line: str) -> DataFrame:

@@ -123,7 +123,7 @@ def theta_first_after(spark: SparkSession, folder: str) -> DataFrame:
     rows = _once(spark, folder)
     a = rows.where("taint_confirmed").select("source_file", F.col("finding_id").alias("tainted_id"), F.col("scanned_at").alias("seen"))
     b = rows.where("NOT taint_confirmed").select("source_file", F.col("finding_id").alias("next_id"), "scanned_at", F.struct("scanned_at", "finding_id").alias("o"))
-    return rules.first_after(a, b, ["source_file"], ["tainted_id"], "seen", "scanned_at", "o").select("source_file", "tainted_id", "next_id", "scanned_at")
+    return rules.first_after(a, b, ["source_file"], ["tainted_id"], "seen", "scanned_at", "o", lambda t: F.date_trunc("month", t)).select("source_file", "tainted_id", "next_id", "scanned_at")
 
 
 def repeated_key_group(spark: SparkSession, folder: str) -> DataFrame:
@@ -171,8 +171,10 @@ def path_or_name(spark: SparkSession, folder: str) -> DataFrame:
 def covering_findings(spark: SparkSession, folder: str) -> DataFrame:
     """How many findings of other rules cover each finding's line in its file."""
     rows = _once(spark, folder).select("finding_id", "source_file", "rule_name", "line_start", "line_end")
-    b = rows.select("source_file", F.col("rule_name").alias("r"), F.col("line_start").alias("s"), F.col("line_end").alias("e"))
-    near = rows.join(b, "source_file").where((F.col("line_start") >= F.col("s")) & (F.col("line_start") <= F.col("e")) & (F.col("rule_name") != F.col("r")))
+    band = lambda c: F.floor(c / 32)  # noqa: E731  # equality keys for the range: no file is one group
+    b = rows.select("source_file", F.col("rule_name").alias("r"), F.col("line_start").alias("s"), F.col("line_end").alias("e")).where("s <= e")
+    b = b.withColumn("band", F.explode(F.sequence(band(F.col("s")), band(F.col("e")))))
+    near = rows.withColumn("band", band(F.col("line_start"))).join(b, ["source_file", "band"]).where((F.col("line_start") >= F.col("s")) & (F.col("line_start") <= F.col("e")) & (F.col("rule_name") != F.col("r")))
     return near.groupBy("finding_id").agg(F.count("*").alias("n_covering"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code as C
-from ..operators import dataset, graph, models, patches, rules
+from ..operators import dataset, graph, joins, models, patches, rules
 from ..session import cut
 from ..sources import files, parse
 
@@ -59,7 +59,7 @@ class Pipeline:
         if self.standards is None:
             return numbered.withColumn("standards_citation", missing)
         last = self.standards.groupBy("cwe").agg(F.max("citation").alias("_c"))
-        return numbered.join(F.broadcast(last), "cwe", "left").withColumn("standards_citation", F.coalesce("_c", missing)).drop("_c")
+        return numbered.join(joins.small(last), "cwe", "left").withColumn("standards_citation", F.coalesce("_c", missing)).drop("_c")
 
     @cached_property
     def taint(self) -> DataFrame:
