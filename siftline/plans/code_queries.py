@@ -133,6 +133,12 @@ def unsafe_calls_per_function(spark: SparkSession, folder: str) -> DataFrame:
     return dataset.unsafe_calls(calls, unsafe, ["sample_id", "fn"])
 
 
+def unfreed_per_function(spark: SparkSession, folder: str) -> DataFrame:
+    """Functions with an allocation that no free follows, by file."""
+    rows = parse.of_kind(_facts(spark, folder), "allocation", "sample_id")
+    return rows.groupBy("sample_id", "fn").agg(F.max(~F.col("freed")).alias("any_unfreed"), F.count("*").alias("n_allocations"))
+
+
 _LINES = r"""lines AS (SELECT sample_id, lang, trim(unnest(ls), ' ') AS src, unnest(range(1, len(ls) + 1))::INT AS line FROM (
   SELECT sample_id, lower(trim(language)) AS lang, CASE WHEN raw_code = '' THEN [] ELSE string_split_regex(regexp_replace(raw_code, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r') END AS ls FROM samples WHERE raw_code IS NOT NULL))"""
 
@@ -221,5 +227,5 @@ SELECT *, row_number() OVER (PARTITION BY parent ORDER BY is_dir DESC, name)::IN
 
 
 def queries():  # noqa: ANN201
-    out = {f.__name__: f for f in (structural_features, line_explode_counts, risk_rank_documents, md5_dedup_keep_first, prior3_window_anti, nearest_band_match, use_after_delete_lines, snippets_of_calls, files_per_language, language_by_extension, file_tree, corpus_summary, union_sources, first_n_per_source, fact_counts, functions_found, scan_findings, scan_numbered, unsafe_calls_per_function)}
+    out = {f.__name__: f for f in (structural_features, line_explode_counts, risk_rank_documents, md5_dedup_keep_first, prior3_window_anti, nearest_band_match, use_after_delete_lines, snippets_of_calls, files_per_language, language_by_extension, file_tree, corpus_summary, union_sources, first_n_per_source, fact_counts, functions_found, scan_findings, scan_numbered, unsafe_calls_per_function, unfreed_per_function)}
     return out | {f"rule_hits_{g}": _hits(g) for g in ("python", "java", "go", "cpp")}

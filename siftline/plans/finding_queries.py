@@ -178,6 +178,12 @@ def covering_findings(spark: SparkSession, folder: str) -> DataFrame:
     return near.groupBy("finding_id").agg(F.count("*").alias("n_covering"))
 
 
+def first_on_line(spark: SparkSession, folder: str) -> DataFrame:
+    """The first finding of each line of each file."""
+    rows = _once(spark, folder).select("source_file", "line_start", "finding_id", "rule_name")
+    return rules.dedup_first(rows, ["source_file", "line_start"], ["finding_id"])
+
+
 STRATEGIES = ["argument_array", "bounded_copy", "check_length_first", "drop_shell", "literal_format", "manual_review", "move_to_environment", "null_after_free", "parameter_binding", "propagate_error", "safe_join", "validate_input"]
 
 
@@ -372,6 +378,7 @@ SELECT finding_id, template_ord, tier FROM j QUALIFY row_number() OVER (PARTITIO
     "total_fix_rate": f"WITH {_ONCE} SELECT count_if(scanned_at < '{HALF}') AS before, count_if(NOT scanned_at < '{HALF}') AS after, round((count_if(scanned_at < '{HALF}') - count_if(NOT scanned_at < '{HALF}'))::DOUBLE / nullif(count_if(scanned_at < '{HALF}'), 0), 6) AS fix_rate FROM o",
     "path_or_name": r"WITH a AS (SELECT DISTINCT source_file, regexp_extract(source_file, '[^/\\]*$') AS n FROM scored_vulns WHERE source_file IS NOT NULL), b AS (SELECT DISTINCT file_path, regexp_extract(file_path, '[^/\\]*$') AS m FROM samples WHERE file_path IS NOT NULL) SELECT source_file, count(*) AS n_files FROM a JOIN b ON source_file = file_path OR n = m GROUP BY 1",
     "covering_findings": f"WITH {_ONCE} SELECT a.finding_id, count(*) AS n_covering FROM o a JOIN o b ON a.source_file = b.source_file AND a.line_start BETWEEN b.line_start AND b.line_end AND a.rule_name <> b.rule_name GROUP BY 1",
+    "first_on_line": f"WITH {_ONCE} SELECT source_file, line_start, finding_id, rule_name FROM o QUALIFY row_number() OVER (PARTITION BY source_file, line_start ORDER BY finding_id) = 1",
     "json_extract_decision": "WITH d AS (SELECT DISTINCT decision_id, reasoning FROM decisions), j AS (SELECT decision_id, reasoning, regexp_extract(reasoning, '(?s)\\{.*?\\}') AS obj FROM d), x AS (SELECT *, lower(trim(CASE WHEN obj <> '' AND json_valid(obj) THEN json_extract_string(obj, '$.strategy') END)) AS said, CASE WHEN obj <> '' AND json_valid(obj) THEN coalesce(json_extract_string(obj, '$.reasoning'), json_extract_string(obj, '$.why')) END AS why FROM j) SELECT decision_id, coalesce("
     + "CASE WHEN said IN (" + ", ".join(f"'{k}'" for k in STRATEGIES) + ") THEN said END, "
     + ", ".join(f"CASE WHEN said <> '' AND (contains('{k}', said) OR contains(said, '{k}')) THEN '{k}' END" for k in STRATEGIES) + ", "
@@ -403,5 +410,5 @@ SELECT 'mae' AS measure, round(avg(mae), 6) AS mean, round(stddev_pop(mae), 6) A
 
 
 def queries():  # noqa: ANN201
-    listed = (finding_counts, report_summary, scored_summary, recon_counts, finding_dedup_first, findings_in_order, top7_cwes, standard_in_force, citation_lookup, base_scores, decision_join, decisions_by_file, strategy_lookup, tiered_lookup, theta_first_after, repeated_key_group, before_after_diff, fixed_findings, remaining_findings, fix_rate, total_fix_rate, path_or_name, covering_findings, json_extract_decision, heuristic_risk, severity_buckets, ensemble_score, feature_vectors, composite_risk, column_maxima, feature_profile, weak_labels_flipped, percentile_split, class_balance, stratified_split, confusion_metrics, roc_points, precision_recall_points, areas_under_curves, regression_metrics, corr_matrix, interaction_matrix, fold_metrics, smote_like, gaussian_augment, gbt_rf_score, partial_dependence, cross_validation)
+    listed = (finding_counts, report_summary, scored_summary, recon_counts, finding_dedup_first, findings_in_order, top7_cwes, standard_in_force, citation_lookup, base_scores, decision_join, decisions_by_file, strategy_lookup, tiered_lookup, theta_first_after, repeated_key_group, before_after_diff, fixed_findings, remaining_findings, fix_rate, total_fix_rate, path_or_name, covering_findings, first_on_line, json_extract_decision, heuristic_risk, severity_buckets, ensemble_score, feature_vectors, composite_risk, column_maxima, feature_profile, weak_labels_flipped, percentile_split, class_balance, stratified_split, confusion_metrics, roc_points, precision_recall_points, areas_under_curves, regression_metrics, corr_matrix, interaction_matrix, fold_metrics, smote_like, gaussian_augment, gbt_rf_score, partial_dependence, cross_validation)
     return {f.__name__: f for f in listed} | {"top20_findings": top20_findings, "top15_chart": top15_chart, "top5_risk": top5_risk} | {f"weak_labels_{s}": _weak(s) for s in dataset.STRATEGIES}
