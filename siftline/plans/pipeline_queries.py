@@ -17,9 +17,9 @@ def _files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _targets(files: DataFrame) -> DataFrame:
-    """Findings of the lines' rules in C and Go, with the weakness's first strategy."""
+    """Findings of all languages, with the weakness's first strategy."""
     facts = cut(parse.facts(files, text="raw_code", lang="lang", keep=("sample_id",)))
-    found = rules.scan(files, facts, "sample_id", "raw_code").where("lang IN ('c', 'cpp', 'go')")
+    found = rules.scan(files, facts, "sample_id", "raw_code")
     return cut(found.select("sample_id", F.xxhash64("sample_id", "rule_name", "function_name", "line").alias("finding_id"), "cwe", patches.first_strategy(F.col("cwe")).alias("strategy"), "line", "rule_name"))
 
 

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from siftline.plans import render
+from siftline.plans import pipeline_queries, render
 from siftline.plans.pipeline import Pipeline
 from siftline.sources import files
 from siftline.streaming import windows
@@ -83,3 +83,11 @@ def test_files_scanned_as_they_come(spark, tmp_path):
     stream = windows.read(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
     windows.scan_new_files(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "file", "text", "lang").awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() > 10
+
+
+def test_patches_of_all_languages(spark, tmp_path):
+    java = 'class A {\n  void f(String c) throws Exception {\n    Runtime.getRuntime().exec("ls " + c);\n  }\n}\n'
+    samples = [(1, "c", "void f(char *a, char *b) {\n  strcpy(a, b);\n}\n"), (2, "Python", "import os\ndef f(x):\n    os.system('ls ' + x);\n"), (3, " java", java)]
+    spark.createDataFrame(samples, "sample_id bigint, language string, raw_code string").write.parquet(str(tmp_path / "samples.parquet"))
+    got = {(r.sample_id, r.success, r.error) for r in pipeline_queries.patch_results(spark, str(tmp_path)).collect()}
+    assert {(1, True, None), (2, True, None), (3, False, "No matching line")} <= got
