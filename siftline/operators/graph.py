@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,14 +47,15 @@ def edges(calls: DataFrame, src: str, dst: str, line: str | None = None, order:
     return rows.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(last, F.count("*").alias("n_calls"))
 
 
-def reach(edges_: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst", most: int = 10_000) -> DataFrame:
-    """``node, depth``: the fewest steps from any start, itself 0; unreached nodes are missing.
+def reach(edges_: DataFrame, starts: DataFrame, src: str = "src", dst: str = "dst", most: int | None = None) -> DataFrame:
+    """``node, depth``: the fewest steps from any start, itself 0; unreached nodes are missing, and with ``most``
+    those of that depth or more.
 
     One round a depth: the frontier joins the edges, and what was seen before is left out; a round is written
     to the checkpoint folder, partitioned like the edges.  Starts need not have edges."""
     e = cut(edges_.select(F.col(src).alias("_s"), F.col(dst).alias("_d")).where("_s IS NOT NULL AND _d IS NOT NULL").distinct())
     seen = front = cut(starts.select(F.col(starts.columns[0]).alias("node")).where("node IS NOT NULL").distinct().withColumn("depth", F.lit(0)))
-    for depth in range(1, most):
+    for depth in range(1, most) if most else count(1):
         step = e.join(front.select("node"), e["_s"] == F.col("node")).select(F.col("_d").alias("node")).distinct()
         front = cut(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
@@ -63,20 +66,21 @@ def reach(edges_: DataFrame, starts: DataFrame, src: str = "src", dst: str = "ds
     return seen
 
 
-def first_paths(edges_: DataFrame, starts: DataFrame, most: int = 64) -> DataFrame:
+def first_paths(edges_: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, node, path``: of the shortest paths from each start to each node the first in order of nodes.
 
     Only the best path to each node is kept, so a round holds at most starts times nodes rows."""
     e = cut(edges_.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).where("_s IS NOT NULL AND _d IS NOT NULL").distinct())
     seen = front = cut(starts.select(F.col(starts.columns[0]).alias("start")).where("start IS NOT NULL").distinct().select("start", F.col("start").alias("node"), F.array("start").alias("path")))
-    for _ in range(most):
+    for k in count(1):
         step = front.join(e, front["node"] == e["_s"]).select("start", F.col("_d").alias("node"), F.concat("path", F.array("_d")).alias("path"))
         best = step.groupBy("start", "node").agg(F.min("path").alias("path"))
         front = cut(best.join(seen.select("start", "node"), ["start", "node"], "left_anti"))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
-    return seen
+        if k % 10 == 0:
+            seen = cut(seen)
 
 
 def simple_paths(edges_: DataFrame, starts: DataFrame, ends: DataFrame, most: int = 8) -> DataFrame:
@@ -100,27 +104,28 @@ def simple_paths(edges_: DataFrame, starts: DataFrame, ends: DataFrame, most: in
     return out if out is not None else front.select("path").limit(0)
 
 
-def closure(edges_: DataFrame, starts: DataFrame, most: int = 10_000) -> DataFrame:
+def closure(edges_: DataFrame, starts: DataFrame) -> DataFrame:
     """``start, node``: all nodes below each start, the start itself only if it lies on a cycle."""
     e = cut(edges_.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).where("_s IS NOT NULL AND _d IS NOT NULL").distinct())
     s = starts.select(F.col(starts.columns[0]).alias("start")).where("start IS NOT NULL").distinct()
     seen = front = cut(s.join(e, F.col("start") == F.col("_s")).select("start", F.col("_d").alias("node")).distinct())
-    for _ in range(most):
+    for k in count(1):
         step = front.join(e, front["node"] == e["_s"]).select("start", F.col("_d").alias("node")).distinct()
         front = cut(step.join(seen, ["start", "node"], "left_anti"))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
-    return seen
+        if k % 10 == 0:
+            seen = cut(seen)
 
 
-def cyclic(edges_: DataFrame, most: int = 10_000) -> DataFrame:
+def cyclic(edges_: DataFrame) -> DataFrame:
     """``node``: nodes on a cycle or between two. Empty exactly if the graph has no cycle.
 
     Nodes without a caller or without a callee are peeled off, round by round."""
     e = cut(edges_.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL").distinct())
     n = e.count()
-    for _ in range(most):
+    while True:
         e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
         if (left := e.count()) == n:
             break

@@ -72,6 +72,12 @@ def test_taint(spark):
     assert got == {"work": ("fgets", "strcpy", ["fgets", "read_line", "work", "strcpy"])}
 
 
+def test_long_chain(spark):
+    e = made(spark, [(f"n{i}", f"n{i + 1}") for i in range(70)])
+    paths = {r.node: r.path for r in graph.first_paths(e, spark.createDataFrame([("n0",)], "s string")).collect()}
+    assert paths == {f"n{k}": [f"n{i}" for i in range(k + 1)] for k in range(71)}
+
+
 def test_empty(spark):
     none = made(spark, [])
     starts = spark.createDataFrame([], "s string")
