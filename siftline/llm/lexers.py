@@ -6,6 +6,7 @@ Every lexer reads a file with one compiled pattern; the kind of each distinct sp
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from . import grammars as G
 
@@ -221,6 +222,20 @@ class Go(Lexer):
         return [self._chunk.findall(s)]
 
 
+#: A line end and the indent after it, whatever its width.
+_LINE = "\uf000"
+
+
+@lru_cache(65_536)
+def _width(start: str) -> tuple[int, int]:
+    """Columns and characters of the indent after a line end."""
+    indent = start.split("\n", 1)[1].rpartition("\f")[2]
+    wide = 0
+    for ch in indent:
+        wide = wide + 1 if ch == " " else (wide // 8 + 1) * 8
+    return wide, len(indent)
+
+
 _PY_PREFIX = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"
 
 
@@ -236,26 +251,14 @@ class Python(Lexer):
     )
     escapes = re.compile(r"(?:[^\\]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U00(?:0\d|10)[0-9a-fA-F]{4}|N\{[^}]+\}|[^xuUN]))*", re.S)
     byte_escapes = re.compile(r"(?:[^\\]|\\(?:x[0-9a-fA-F]{2}|[^x]))*", re.S)
-    _lines = re.compile("([\uf000-\uf8ff])")
 
     def __init__(self) -> None:
-        self.indents: dict[str, str] = {}
-        self.widths: dict[str, tuple[int, int]] = {}
         self.depths: dict[str, int] = {}
         super().__init__()
 
     def kind(self, token: str) -> str:
         if token[0] in "\r\n" and token.lstrip("\r \t\f")[:1] == "\n":
-            indent = token.split("\n", 1)[1].rpartition("\f")[2]
-            if indent not in self.indents:
-                if len(self.indents) > 2000:
-                    return WRONG
-                self.indents[indent] = c = chr(0xF000 + len(self.indents))
-                wide = 0
-                for ch in indent:
-                    wide = wide + 1 if ch == " " else (wide // 8 + 1) * 8
-                self.widths[c] = (wide, len(indent))
-            return self.indents[indent]
+            return _LINE
         if token[-1] in "\"'" and len(token) > 1:
             prefix = re.match("[A-Za-z]*", token)[0].lower()
             body = token[len(prefix) :]
@@ -286,24 +289,25 @@ class Python(Lexer):
     def read(self, text: str) -> list[list[str]] | None:
         if "\x00" in text or "\r" in text and re.search("\r(?!\n)", text):
             text = re.sub("\r(?!\n)", "\n", text)
-        s = self.string(text.removeprefix("\ufeff"))
+        found = self.pattern.findall(text.removeprefix("\ufeff"))
+        s = "".join(map(self.__getitem__, found))
         if WRONG in s:
             return None
         s = s.replace("\ue010", "s")
+        starts = [x for x in found if x and x[0] in "\r\n"]
         lead = re.match("[ \t]*", text)[0]
-        pieces = self._lines.split(s)
+        pieces = s.split(_LINE)
         out: list[str] = []
         stack = [(0, 0)]
         depth, line = 0, ""
         indent: tuple[int, int] = (0, 0)
         if lead:
-            indent = self.widths[self["\n" + lead]]
-        for i in range(0, len(pieces), 2):
-            piece = pieces[i]
-            if i and depth == 0:
-                indent = self.widths[pieces[i - 1]]
+            indent = _width("\n" + lead)
+        for i, piece in enumerate(pieces):
             if not piece:
                 continue
+            if i and depth == 0:
+                indent = _width(starts[i - 1])
             if depth == 0 and not line:
                 if indent != stack[-1]:
                     if indent[0] > stack[-1][0]:

@@ -85,6 +85,13 @@ def test_every_truncation_agrees_with_the_parser():
             assert syntax.valid(part, "python") == right, part
 
 
+def test_any_number_of_indents():
+    for k in range(2500):
+        blank = "".join("\t" if k >> b & 1 else " " for b in range(12))
+        assert syntax.valid(f"if x:\n{blank}y = 1\n", "python")
+    assert not syntax.valid("if x:\n        a\n\tb\n", "python") and not syntax.valid("if x:\n    a\n  b\n", "python")
+
+
 def test_every_reading_is_followed():
     kinds = {c: c for c in "abc()"} | {"NAME": "a"}
     g = Grammar("s = x 'b' | y 'c' ; x = 'a' { 'a' } ; y = 'a' 'a' ; ", kinds)
