@@ -236,7 +236,10 @@ def _width(start: str) -> tuple[int, int]:
     return wide, len(indent)
 
 
-_PY_PREFIX = r"(?:[rR][bBfF]?|[bBfF][rR]?|[uU])?"
+_PY_PREFIX = r"(?:[rR][bB]?|[bB][rR]?|[uU])?"
+#: In place of an f-string; CPython's bounds of f-strings in f-strings and of specifications in specifications.
+_FORMATTED, _LEVELS, _SPECS = "\ue010", 149, 2
+CLOSING = {"(": ")", "[": "]", "{": "}"}
 
 
 class Python(Lexer):
@@ -251,14 +254,24 @@ class Python(Lexer):
     )
     escapes = re.compile(r"(?:[^\\]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U00(?:0\d|10)[0-9a-fA-F]{4}|N\{[^}]+\}|[^xuUN]))*", re.S)
     byte_escapes = re.compile(r"(?:[^\\]|\\(?:x[0-9a-fA-F]{2}|[^x]))*", re.S)
+    _formatted = re.compile(rf"[fF][rR]?[\"']|[rR][fF][\"']|{_FORMATTED}")
+    _opened = r"(?<!\w)(?P<f>[fF][rR]?|[rR][fF])(?P<q>\"\"\"|'''|[\"'])"
+    _outside = re.compile(rf"\#[^\n]*|{_opened}|{_long}|(?!\"\"\"|'''){_short}|(?P<bad>[\"'{_FORMATTED}])", re.S)
+    _inside = re.compile(rf"(?P<gap>\#[^\n]*|\\\r?\n|\r?\n)|{_opened}|{_long}|(?!\"\"\"|'''){_short}|(?P<bad>[\"'{_FORMATTED}])|!=|[][(){{}}:!]", re.S)
+    _middle = re.compile(r"\\(?:\r\n|.)|[{}\"'\n]", re.S)
+    _closed = re.compile(r"(?:\s|\#[^\n]*\n)*(?=\})")
+    _conversion = re.compile(r"[rsa](?:\s|\#[^\n]*\n)*([:}])")
 
     def __init__(self) -> None:
+        self.fields: list[str] = []
         self.depths: dict[str, int] = {}
         super().__init__()
 
     def kind(self, token: str) -> str:
         if token[0] in "\r\n" and token.lstrip("\r \t\f")[:1] == "\n":
             return _LINE
+        if token == _FORMATTED:
+            return "s"
         if token[-1] in "\"'" and len(token) > 1:
             prefix = re.match("[A-Za-z]*", token)[0].lower()
             body = token[len(prefix) :]
@@ -270,30 +283,139 @@ class Python(Lexer):
                 return "b"
             if "r" not in prefix and "\\" in token and not self.escapes.fullmatch(token):
                 return WRONG
-            return "s" if "f" not in prefix or fields(body) == [] else "\ue010"
+            return "s"
         if token[0].isdigit() or token[0] == "." and len(token) > 1:
             return "0" if self.number.fullmatch(token) else WRONG
         return "a" if token[0].isalpha() or token[0] == "_" else WRONG
 
-    def inner(self, text: str) -> list[str] | None:
-        """The fields of the f-strings of a text, or None when one is malformed."""
+    def split(self, text: str) -> tuple[str, list[str]] | None:
+        """The text with a mark in place of each f-string, and the expressions in their fields at any depth; None
+        when an f-string or another string is malformed."""
+        if not self._formatted.search(text):
+            return text, []
         out: list[str] = []
-        for t in self.pattern.findall(text):
-            if t and t[-1] in "\"'" and t[0] in "fFrR" and "f" in (p := re.match("[A-Za-z]*", t)[0].lower()):
-                found = fields(t[len(p) :])
-                if found is None:
+        found: list[str] = []
+        at = i = 0
+        while m := self._outside.search(text, i):
+            i = m.end()
+            if m["bad"]:
+                return None
+            if m["f"]:
+                i = self.formatted(text, i, m["q"], "r" in m["f"].lower(), found, 1)
+                if i < 0:
                     return None
-                out += found
-        return out
+                out += [text[at : m.start()], _FORMATTED]
+                at = i
+        return "".join(out) + text[at:], found
+
+    def formatted(self, text: str, i: int, quote: str, raw: bool, found: list[str], level: int, spec: int = 0) -> int:
+        """Where the f-string, or with ``spec`` the format specification of that depth, that starts at ``i`` ends;
+        its fields go to ``found``. -1: malformed."""
+        if level > _LEVELS:
+            return -1
+        start = i
+
+        def plain(end: int) -> bool:
+            part = text[start:end]
+            return raw and not spec or "\\" not in part or self.escapes.fullmatch(part) is not None
+
+        while m := self._middle.search(text, i):
+            i, c = m.start(), m[0]
+            if c[0] == "\\":
+                if c[1:] in ("{", "}"):
+                    if not plain(i):
+                        return -1
+                    start = i = i + 1
+                elif c == "\\N" and not raw and text[i + 2 : i + 3] == "{":
+                    i = text.find("}", i) + 1
+                    if i == 0:
+                        return -1
+                else:
+                    i = m.end()
+            elif text.startswith(quote, i):
+                return i + len(quote) if plain(i) and not spec else -1
+            elif c in "\"'":
+                i += 1
+            elif c == "\n":
+                if len(quote) == 3:
+                    i += 1
+                    continue
+                # a line end closes the specification, and nothing but the field's end may follow
+                m = self._closed.match(text, i)
+                return m.end() if spec and m and plain(i) else -1
+            elif c == "}" and spec:
+                return i if plain(i) else -1
+            elif not spec and text.startswith(c * 2, i):
+                i += 2
+            elif c == "}":
+                return -1
+            else:
+                if not plain(i):
+                    return -1
+                start = i = self.field(text, i + 1, quote, raw, found, level, spec)
+                if i < 0:
+                    return -1
+        return -1
+
+    def field(self, text: str, i: int, quote: str, raw: bool, found: list[str], level: int, spec: int) -> int:
+        """Where the replacement field ends whose expression starts at ``i``; -1: malformed."""
+        if spec > _SPECS:
+            return -1
+        out: list[str] = []
+        at, closers = i, ""
+        while m := self._inside.search(text, i):
+            i, c = m.end(), m[0]
+            if m["bad"]:
+                return -1
+            if m["f"]:
+                out.append(text[at : m.start()])
+                i = self.formatted(text, i, m["q"], "r" in m["f"].lower(), found, level + 1)
+                if i < 0:
+                    return -1
+                out.append(_FORMATTED)
+                at = i
+            elif m["gap"]:
+                out += [text[at : m.start()], " "]
+                at = i
+            elif c in "([{":
+                closers += CLOSING[c]
+            elif c in ")]}" and closers:
+                if closers[-1] != c:
+                    return -1
+                closers = closers[:-1]
+            elif c in ")]":
+                return -1
+            elif c in "}:!" and not closers:
+                break
+        else:
+            return -1
+        expression = "".join([*out, text[at : m.start()]]).strip()
+        if expression.endswith("=") and not expression.endswith(("==", "!=", "<=", ">=")):
+            expression = expression[:-1].rstrip()
+        if not expression:
+            return -1
+        found.append(expression)
+        if c == "!":
+            if not (m := self._conversion.match(text, i)):
+                return -1
+            i, c = m.end(), m[1]
+        if c == ":":
+            i = self.formatted(text, i, quote, raw, found, level, spec + 1)
+            if i >= 0 and text[i] == "}":
+                i += 1
+        return i
 
     def read(self, text: str) -> list[list[str]] | None:
         if "\x00" in text or "\r" in text and re.search("\r(?!\n)", text):
             text = re.sub("\r(?!\n)", "\n", text)
+        whole = self.split(text)
+        if whole is None:
+            return None
+        text, self.fields = whole
         found = self.pattern.findall(text.removeprefix("\ufeff"))
         s = "".join(map(self.__getitem__, found))
         if WRONG in s:
             return None
-        s = s.replace("\ue010", "s")
         starts = [x for x in found if x and x[0] in "\r\n"]
         lead = re.match("[ \t]*", text)[0]
         pieces = s.split(_LINE)
@@ -336,80 +458,3 @@ class Python(Lexer):
             return None
         out += ["\x02"] * (len(stack) - 1)
         return [out]
-
-
-def fields(body: str) -> list[str] | None:
-    """The expressions in the replacement fields of an f-string's body with its quotes; None: malformed."""
-    quote = body[:3] if body[:3] in ('"""', "'''") else body[:1]
-    s = body[len(quote) : len(body) - len(quote)]
-    return _fields(s, 0, False)[0]
-
-
-def _fields(s: str, i: int, nested: bool) -> tuple[list[str] | None, int]:
-    out: list[str] = []
-    n = len(s)
-    while i < n:
-        c = s[i]
-        if c == "\\" and s[i : i + 3] == "\\N{":
-            i = s.find("}", i) + 1
-            if i == 0:
-                return None, n
-            continue
-        if c == "}":
-            if nested:
-                return out, i
-            if s[i : i + 2] != "}}":
-                return None, n
-            i += 2
-            continue
-        if c != "{":
-            i += 1
-            continue
-        if s[i : i + 2] == "{{" and not nested:
-            i += 2
-            continue
-        i += 1
-        start, depth, quote = i, 0, ""
-        while i < n:
-            c = s[i]
-            if quote:
-                if s.startswith(quote, i):
-                    i += len(quote)
-                    quote = ""
-                    continue
-                i += 2 if c == "\\" else 1
-                continue
-            if c in "\"'":
-                quote = s[i : i + 3] if s[i : i + 3] in ('"""', "'''") else c
-                i += len(quote)
-                continue
-            if c in "([{":
-                depth += 1
-            elif c in ")]}" and depth:
-                depth -= 1
-            elif c == "}" or c == ":" or c == "!" and s[i : i + 2] != "!=":
-                break
-            i += 1
-        else:
-            return None, n
-        text = s[start:i].rstrip()
-        if text.endswith("=") and not text.endswith(("==", "!=", "<=", ">=")):
-            text = text[:-1]
-        if not text.strip():
-            return None, n
-        out.append(text)
-        if s[i] == "!":
-            m = re.compile(r"!\s*[rsa]\s*(?=[:}])").match(s, i)
-            if not m:
-                return None, n
-            i = m.end()
-        if s[i] == ":":
-            more, i = _fields(s, i + 1, True)
-            if more is None or i >= n:
-                return None, n
-            out += more
-        if i >= n or s[i] != "}":
-            return None, n
-        i += 1
-    return (None if nested else out), i
-

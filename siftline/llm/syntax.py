@@ -44,15 +44,10 @@ def valid(text: str, language: str) -> bool:
     ways = lexer.read(text)
     if ways is None or not any(grammar.accepts(starts, w) for w in ways):
         return False
-    if language == "python" and ('f"' in text.lower() or "f'" in text.lower() or 'fr"' in text.lower() or "fr'" in text.lower()):
-        inner = lexer.inner(text)
-        if inner is None:
-            return False
-        for x in inner:
-            s = lexer.string(x.replace("\n", " "))
-            if L.WRONG in s or not grammar.accepts(_FIELD, [s.replace("\ue010", "s")]):
-                return False
-            if "\ue010" in s and (deeper := lexer.inner(x)) is not None and not all(grammar.accepts(_FIELD, [lexer.string(y).replace("\ue010", "s")]) for y in deeper):
+    if language == "python":
+        for x in lexer.fields:
+            s = lexer.string(x)
+            if L.WRONG in s or not grammar.accepts(_FIELD, [s]):
                 return False
     return True
 

@@ -85,6 +85,19 @@ def test_every_truncation_agrees_with_the_parser():
             assert syntax.valid(part, "python") == right, part
 
 
+def test_formatted_strings_at_any_depth():
+    warnings.simplefilter("ignore")
+    valid = ["f'{d['k']}'", 'x = f"{d["k"]}"', "f'{a\n}'", "f'{a # }\n}'", """x = f\"\"\"{f'{f"{1}"}'}\"\"\"""", "f'{f'{f'{1}'}':>{w}}' 'b'", "f'{a:{b:{c}}}'", "f'{a:\n}'", "f'{x!r:>{w}}{y = }' f''", "rf'\\'{a}'", "f'\\{a}'", "'f\"{'"]
+    wrong = ["""x = f"{a + f'{b'}\"""", """x = f\"\"\"{f'{f"{1 2}"}'}\"\"\"""", "f'{f'{f'{}'}'}'", "f'{a:{b:{c:{d}}}}'", "f'{a! r}'", "f'{(}'", "f'{a}}'", "f'{'\\x1'}'", "f'{f'\\x1'}'", "f'{a # }'", "bf'{a}'", "\ue010"]
+    for t in valid:
+        ast.parse(t)
+        assert syntax.valid(t, "python"), t
+    for t in wrong:
+        with pytest.raises(SyntaxError):
+            ast.parse(t)
+        assert not syntax.valid(t, "python"), t
+
+
 def test_any_number_of_indents():
     for k in range(2500):
         blank = "".join("\t" if k >> b & 1 else " " for b in range(12))
