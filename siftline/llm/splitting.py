@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,36 +17,36 @@ from ..session import spread
 
 LIMIT, OVERLAP = 4000, 200
 #: Weights of a cut against an unevenness of one whole piece: after a block that stands alone; at a blank line;
-#: at a line's end, by the depth of the next line; at a space; anywhere.
-BLOCK, BLANK, LINE, DEPTH, SPACE, ANYWHERE = 0.0, 0.05, 0.15, 0.1, 2.0, 4.0
+#: at a line's end, by the depth of the next line, and more before a closing bracket or a blank line; at a space; anywhere.
+BLOCK, BLANK, LINE, DEPTH, CLOSING, SPACE, ANYWHERE = 0.0, 0.05, 0.15, 0.1, 0.3, 2.0, 4.0
 
 _LINE = re.compile(r"\r\n|\n|\r")
+_LEAD = re.compile(r"([ \t]*)[^\S\r\n]*(\S?)")
 _SPACE = re.compile(r"[^\S\r\n]+(?=\S)|(?<=[;,{}()\[\]])(?=[^\s;,{}()\[\]])")
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Places after line ends, in order, with what a cut there costs."""
     at, cost = [], []
-    n = len(text)
+    n, start = len(text), 0
     for m in _LINE.finditer(text):
         p = m.end()
         if p >= n:
             break
-        end = text.find("\n", p)
-        line = text[p : min(end if end >= 0 else n, p + 200)]
-        body = line.lstrip(" \t")
-        start = max(text.rfind("\n", 0, m.start()), text.rfind("\r", 0, m.start())) + 1
-        before = text[start : m.start()].strip()
-        indent = len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip(" "))
-        depth = min(indent // 2, 20)
-        if not before and body.strip() and indent == 0 and body[:1] not in "}])":
+        lead = _LEAD.match(text, p)
+        first = lead[2]  # what the next line starts with, empty if it is blank
+        indent = len(lead[1].expandtabs(4))
+        before = text[start : m.start()].rstrip()
+        start = p
+        opens = indent == 0 and first and first not in "}])"
+        if not before and opens:
             c = BLOCK
         elif not before:
-            c = BLANK + DEPTH * depth
-        elif indent == 0 and body.strip() and body[:1] not in "}])" and before[-1:] in "};":
+            c = BLANK + DEPTH * (indent // 2)
+        elif opens and before[-1] in "};":
             c = BLANK
         else:
-            c = LINE + DEPTH * depth + (0.3 if body[:1] in ("}", "]", ")") or not body.strip() else 0.0)
+            c = LINE + DEPTH * (indent // 2) + (CLOSING if first in ("}", "]", ")", "") else 0.0)
         at.append(p)
         cost.append(c)
     return np.array(at, np.int64), np.array(cost)
@@ -111,23 +112,24 @@ class _Layer:
     """Boundaries of one sort: place, penalty, least cost so far and where from."""
 
     def __init__(self, at: np.ndarray, pay: np.ndarray):
-        self.at, self.pay = at, pay
+        self.at, self.pay, self.places = at, pay, at.tolist()
         self.cost, self.came = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
 
     def any(self, lo: int, hi: int) -> bool:
-        k = np.searchsorted(self.at, lo)
-        return k < len(self.at) and self.at[k] <= hi
+        k = bisect_left(self.places, lo)
+        return k < len(self.places) and self.places[k] <= hi
 
     def way_to(self, p: int) -> tuple[float, int]:
-        k = np.searchsorted(self.at, p)
-        return (float(self.cost[k]), int(self.came[k])) if k < len(self.at) and self.at[k] == p else (math.inf, 0)
+        k = bisect_left(self.places, p)
+        return (float(self.cost[k]), int(self.came[k])) if k < len(self.places) and self.places[k] == p else (math.inf, 0)
 
     def cost_at(self, p: int) -> float:
-        return self.way_to(p)[0]
+        k = bisect_left(self.places, p)
+        return float(self.cost[k]) if k < len(self.places) and self.places[k] == p else math.inf
 
     def relax(self, i: int, base: float, lo: int, hi: int, even: float, repeated: int) -> list[int]:
         """Offers a way from i to all places in lo..hi; returns those reached for the first time."""
-        a, b = np.searchsorted(self.at, lo), np.searchsorted(self.at, hi, "right")
+        a, b = bisect_left(self.places, lo), bisect_right(self.places, hi)
         total = base + self.pay[a:b] + ((self.at[a:b] - i - repeated - even) / even) ** 2
         cost = self.cost[a:b]
         new = self.at[a:b][np.isinf(cost)].tolist()
