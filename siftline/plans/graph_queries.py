@@ -101,14 +101,14 @@ def syntax_edges(spark: SparkSession, folder: str) -> DataFrame:
 _EDGES = """c AS (SELECT function_name AS src, lead(function_name) OVER (PARTITION BY source_file ORDER BY line_start, finding_id, ingested_at) AS dst, line_start, finding_id FROM scored_vulns WHERE source_file IS NOT NULL AND function_name IS NOT NULL),
 e AS (SELECT src, dst, arg_max(line_start, (line_start, finding_id)) AS line, count(*) AS n_calls FROM c WHERE dst IS NOT NULL GROUP BY 1, 2)"""
 _STARTS = "s AS (SELECT DISTINCT function_name AS node FROM scored_vulns WHERE call_depth = 0 AND severity = 'CRITICAL' AND function_name IS NOT NULL)"
-_REACH = "r AS (SELECT node, 0 AS depth FROM s UNION SELECT e.dst, depth + 1 FROM r JOIN e ON e.src = r.node WHERE depth < 120)"
+_REACH = "r(node, depth) USING KEY (node) AS (SELECT node, 0 FROM s UNION SELECT e.dst, min(r.depth) + 1 FROM r JOIN e ON e.src = r.node LEFT JOIN recurring.r AS o ON o.node = e.dst WHERE o.node IS NULL GROUP BY 1)"
 _REACHED = "r AS (SELECT node FROM s UNION SELECT e.dst FROM r JOIN e ON e.src = r.node)"
 _TYPES = "t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT DISTINCT src, dst FROM t WHERE dst IS NOT NULL)"
 
 SQL = {
     "transition_graph_edges": f"WITH {_EDGES} SELECT * FROM e",
     "callers_callees": f"WITH {_EDGES} SELECT node, sum(o)::BIGINT AS n_callees, sum(i)::BIGINT AS n_callers FROM (SELECT src AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT dst, 0, 1 FROM e) GROUP BY 1",
-    "reachability_depth": f"WITH RECURSIVE {_EDGES}, {_STARTS}, {_REACH} SELECT node, min(depth)::INT AS depth FROM r GROUP BY 1",
+    "reachability_depth": f"WITH RECURSIVE {_EDGES}, {_STARTS}, {_REACH} SELECT node, depth::INT AS depth FROM r",
     "unreachable_functions": f"WITH RECURSIVE {_EDGES}, {_STARTS}, {_REACHED} SELECT DISTINCT node, -1 AS depth FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) WHERE node NOT IN (SELECT node FROM r)",
     "components_of_calls": f"WITH RECURSIVE {_EDGES}, b AS (SELECT src AS a, dst AS z FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), r AS (SELECT a AS node, a AS component FROM b UNION SELECT b.z, r.component FROM r JOIN b ON b.a = r.node AND r.component < b.z) SELECT node, min(component) AS component FROM r GROUP BY 1",
     "simple_paths_cut8": f"WITH RECURSIVE {_TYPES}, p AS (SELECT [src, dst] AS path FROM e WHERE src <> dst UNION ALL SELECT list_append(path, dst) FROM p JOIN e ON e.src = path[len(path)] AND NOT list_contains(path, dst) WHERE len(path) <= 8) SELECT array_to_string(path, ' > ') AS path, (len(path) - 1)::INT AS n_steps FROM p",
@@ -117,9 +117,8 @@ w AS (SELECT sample_id, line, regexp_extract(src, '([A-Za-z_]+)', 1) AS word FRO
 SELECT word, next, count(*) AS n FROM p WHERE next IS NOT NULL GROUP BY 1, 2""",
     "taint_best_path": f"""WITH RECURSIVE {_EDGES}, x AS (SELECT src, dst FROM e UNION SELECT regexp_extract(taint_path, '^(\\w+) ->', 1), function_name FROM scored_vulns WHERE taint_path IS NOT NULL AND function_name IS NOT NULL AND regexp_extract(taint_path, '^(\\w+) ->', 1) <> ''),
 k AS (SELECT * FROM (VALUES ('argv', 0), ('stdin', 1), ('getenv', 2), ('recv', 3), ('read', 4), ('fgets', 5), ('scanf', 6)) AS v(name, ord)),
-r AS (SELECT name AS source, name AS node, 1 AS n FROM k UNION SELECT source, x.dst, n + 1 FROM r JOIN x ON x.src = r.node WHERE n < 60),
-m AS (SELECT source, node, min(n) AS n FROM r GROUP BY 1, 2)
-SELECT node AS target, source, n::INT AS n_path FROM m JOIN k ON name = source WHERE node IN (SELECT function_name FROM scored_vulns) QUALIFY row_number() OVER (PARTITION BY node ORDER BY n, ord) = 1""",
+r(source, node, n) USING KEY (source, node) AS (SELECT name, name, 1 FROM k UNION SELECT r.source, x.dst, min(r.n) + 1 FROM r JOIN x ON x.src = r.node LEFT JOIN recurring.r AS o ON o.source = r.source AND o.node = x.dst WHERE o.node IS NULL GROUP BY 1, 2)
+SELECT node AS target, source, n::INT AS n_path FROM r JOIN k ON name = source WHERE node IN (SELECT function_name FROM scored_vulns) QUALIFY row_number() OVER (PARTITION BY node ORDER BY n, ord) = 1""",
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from itertools import accumulate
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def checkpoint_dir(spark: SparkSession) -> None:
     """Make sure that checkpoints go to the folder named in ``spark.checkpoint.dir``.
 
@@ -27,6 +31,9 @@ def checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="siftline-checkpoints-")
     sc.setCheckpointDir(named)
+    # files of tables that nothing refers to any more are removed, unless the session says otherwise
+    if not sc._jsc.sc().conf().contains(_CLEAN):
+        sc._jsc.sc().conf().set(_CLEAN, "true")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -45,17 +52,25 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def commonest(counts: DataFrame, n: str, most: int) -> DataFrame:
-    """The rows of ``counts`` whose ``n`` is at or above the smallest power of two that at most ``most`` rows
-    reach.  Only a histogram of 63 lines goes to the driver, never more than ``most`` rows of each task."""
+    """The rows of ``counts`` of largest ``n``, at most ``most`` and nearly so many wherever there are more.
+
+    Rows come in the order of ``n``; those that tie where the limit falls come by their hash, so that the choice
+    depends on the rows alone.  The limit is found digit by digit (power of two, part of it, then twelve bits of
+    the hash at a time): only histograms of a few thousand lines go to the driver."""
     level = F.floor(F.log2(F.col(n).cast("double"))).cast("int")
-    histogram = {r["l"]: r["k"] for r in counts.where(F.col(n) > 0).groupBy(level.alias("l")).agg(F.count("*").alias("k")).collect()}
-    total, least = 0, 63
-    for k in range(62, -1, -1):
-        total += histogram.get(k, 0)
-        if total > most:
+    part = F.floor((F.col(n) / F.pow(F.lit(2.0), level) - 1) * 4096).cast("int")
+    hash_ = F.xxhash64(*[F.col(c) for c in counts.columns if c != n])
+    digits = [-level, -part, *[F.shiftrightunsigned(hash_, 52 - 12 * i).bitwiseAND(F.lit(4095).cast("bigint")).cast("int") for i in range(5)]]
+    room, kept, here = most, F.lit(False), F.col(n) > 0
+    for digit in digits:
+        histogram = sorted(map(tuple, counts.where(here).groupBy(digit.alias("d")).agg(F.count("*").alias("k")).collect()))
+        first = next((d for (d, _), total in zip(histogram, accumulate(k for _, k in histogram), strict=True) if total > room), None)
+        kept |= here & (F.lit(True) if first is None else digit < first)
+        room -= sum(k for d, k in histogram if first is None or d < first)
+        if first is None or room <= most // 64:
             break
-        least = k
-    return counts.where(F.col(n) >= F.lit(1 << least).cast("decimal(20,0)"))
+        here &= digit == first
+    return counts.where(kept)
 
 
 def fresh(taken: list[str], *wanted: str) -> list[str]:
@@ -69,11 +84,6 @@ def fresh(taken: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def spread(key: F.Column | str, n: int) -> F.Column:
-    """0..n-1, evenly by the key's hash."""
-    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-
-
 def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers, once a context, where ``PYTHONPATH`` does not already
     name its folder: Spark serves a zip of it to the executors."""

@@ -116,17 +116,13 @@ class File:
                     todo.append((c, d + 1))
         return deepest
 
-    def rows(self) -> Iterator[dict]:
+    def rows(self) -> Iterator[tuple[str, list[dict]]]:
+        """The facts by kind."""
         reached = self.reached()
-        for i, f in enumerate(self.functions.values()):
-            yield f | {"kind": "function", "ord": i, "fn": f["name"], "reachable": f["name"] in reached, "call_depth": self.depth_below(f["name"])}
-        for kind, rows in (("call", self.calls), ("allocation", self.allocations), ("variable", self.variables), ("node", self.nodes)):
-            for i, r in enumerate(rows):
-                yield r | {"kind": kind, "ord": i}
-        for i, e in enumerate(dict.fromkeys(self.entries)):
-            yield {"kind": "entry", "ord": i, "name": e}
-        if self.error:
-            yield {"kind": "error", "ord": 0, "name": self.error}
+        functions = [f | {"fn": f["name"], "reachable": f["name"] in reached, "call_depth": self.depth_below(f["name"])} for f in self.functions.values()]
+        yield from (("function", functions), ("call", self.calls), ("allocation", self.allocations), ("variable", self.variables), ("node", self.nodes))
+        yield "entry", [{"name": e} for e in dict.fromkeys(self.entries)]
+        yield "error", [{"name": self.error}] if self.error else []
 
 
 def _tokens(text: str, language: str) -> list[tuple[str, str, int]]:
@@ -199,8 +195,8 @@ def _braced(text: str, language: str) -> File:
             before = toks[i - 1][1] if i else ""
             if t in _LOOPS and fn is not None and not (t == "while" and before == "}"):
                 body = match[i + 1] + 1 if nxt in ("(",) and match[i + 1] >= 0 else i + 1
-                if language == "go":
-                    body = next((k for k in range(i + 1, min(n, i + 200)) if toks[k][1] == "{" and match[k] >= 0), i + 1)
+                if language == "go" and (body := _go_body(toks, match, i, n)) == n:
+                    body = i + 1
                 end = match[body] if body < n and toks[body][1] == "{" else next((k for k in range(body, n) if toks[k][1] == ";"), n)
                 loops.append(end)
                 f.functions[fn]["loop_depth"] = max(f.functions[fn]["loop_depth"], len(loops))
@@ -208,7 +204,7 @@ def _braced(text: str, language: str) -> File:
                 k = match[i + 1] + 1 if nxt == "(" and match[i + 1] >= 0 else i + 1
                 method = k != i + 1
                 if k + 1 < n and toks[k][0] == "word" and toks[k + 1][1] == "(" and match[k + 1] >= 0:
-                    body = next((j for j in range(match[k + 1] + 1, min(n, match[k + 1] + 60)) if toks[j][1] == "{"), n)
+                    body = _go_body(toks, match, match[k + 1], n)
                     if body < n:
                         name = toks[k][1]
                         _open(f, name, line, line_of(match[body]), source, method and name in f.functions, _arguments(toks, k + 1, match[k + 1]), None, method)
@@ -220,7 +216,7 @@ def _braced(text: str, language: str) -> File:
                         continue
             if nxt == "(" and match[i + 1] >= 0 and t not in _NOT_CALLED:
                 close = match[i + 1]
-                body = _body(toks, close, n, language) if language != "go" else -1
+                body = _body(toks, match, close, n, language) if language != "go" else -1
                 defines = body >= 0 and (fn is None or language in ("java", "cpp") and not ends) and before not in (".", "->", "new", "=", "return", ",", "(") and (i > start or language in ("java", "cpp"))
                 if defines:
                     first, k = start, i
@@ -264,8 +260,8 @@ def _braced(text: str, language: str) -> File:
             _declares(f, toks, i, n, match, fn, language)
             if language == "cpp":
                 f.node("expression_statement", line)
-        elif i == start and kind == "word" and language in ("c", "cpp", "java"):
-            if language == "java" and any(toks[k][1] == "=" for k in range(i, min(n, i + 12))):
+        elif i == start and (kind == "word" or t == "@") and language == "java":
+            if _assigned(toks, match, i, n):
                 f.node("field_declaration", line)
         if t == ":=" and fn is not None:
             f.node("short_var_declaration", line)
@@ -295,19 +291,91 @@ def _open(f: File, name: str, line: int, end: int, source: list[str], keep: bool
         f.entries.append(name)
 
 
-def _body(toks: list, close: int, n: int, language: str) -> int:
+def _body(toks: list, match: list[int], close: int, n: int, language: str) -> int:
     """The opening brace of a definition whose parameters end at ``close``, or -1."""
     k = close + 1
-    while k < min(n, close + 40):
-        t = toks[k][1]
-        if t == "{":
+    if language == "java":
+        while k < n and toks[k][1] == "[" and 0 <= match[k] < n:
+            k = match[k] + 1
+        if k < n and toks[k][1] == "throws":
+            while k < n and (toks[k][0] == "word" or toks[k][1] in (".", ",", "<", ">", "@")):
+                k += 1
+    elif language == "cpp":
+        if k < n and toks[k][1] not in ("{", "const", "volatile", "noexcept", "override", "final", ":", "->", "&", "&&", "try", "throw", "requires"):
+            return -1
+        while k < n and (t := toks[k][1]) != "{":
+            if t == ":":
+                return _initialised(toks, match, k + 1, n)
+            if t in (";", "}", ")", "]", ",", "="):
+                return -1
+            k = match[k] + 1 if t in ("(", "[") and match[k] >= 0 else k + 1
+    return k if k < n and toks[k][1] == "{" else -1
+
+
+def _initialised(toks: list, match: list[int], k: int, n: int) -> int:
+    """The opening brace after the initialisers of a constructor that start at ``k``, or -1."""
+    while k < n and (toks[k][0] == "word" or toks[k][1] == "::"):
+        while k < n and (toks[k][0] == "word" or toks[k][1] in ("::", "<")):
+            k = _angles(toks, k, n) if toks[k][1] == "<" else k + 1
+        if k >= n or toks[k][1] not in ("(", "{") or not 0 <= match[k] < n:
+            return -1
+        k = match[k] + 1
+        while k < n and toks[k][1] == ".":
+            k += 1
+        if k < n and toks[k][1] == "{":
             return k
-        if language == "c" or t in (";", "}", ")") or language == "java" and k == close + 1 and t != "throws" or language == "cpp" and k == close + 1 and t not in ("const", "noexcept", "override", "final", ":", "->", "&", "&&", "try"):
+        if k >= n or toks[k][1] != ",":
             return -1
         k += 1
     return -1
 
 
+def _angles(toks: list, k: int, n: int) -> int:
+    """The place after the angle brackets that open at ``k``; n if the statement ends before they close."""
+    depth = 0
+    while k < n and (t := toks[k][1]) not in (";", "{", "}"):
+        depth += (t == "<") - (t == ">")
+        k += 1
+        if depth == 0:
+            return k
+    return n
+
+
+def _go_body(toks: list, match: list[int], k: int, n: int) -> int:
+    """The opening brace of the Go function or loop whose header goes on at ``k``, or n.  Brackets are jumped
+    over; as in the language, a line end after an operand ends the header."""
+    while k < n:
+        t, end = toks[k][1], k
+        if t == "}" or t == "{" and match[k] < 0:
+            return n
+        if t == "{":
+            end = match[k]
+            if toks[k - 1][1] not in ("interface", "struct") and not (end + 1 < n and toks[end + 1][1] == "{" and toks[end + 1][2] == toks[end][2]):
+                return k  # neither a type nor a literal before the body
+        elif t in ("(", "[") and match[k] >= 0:
+            end = match[k]
+        if end + 1 < n and toks[end + 1][2] > toks[end][2] and (toks[end][0] != "op" or toks[end][1] in (")", "]", "}")):
+            return n
+        k = end + 1
+    return n
+
+
+def _assigned(toks: list, match: list[int], k: int, n: int) -> bool:
+    """Whether the Java declaration that starts at ``k`` is a field with a value."""
+    while k < n and (t := toks[k][1]) not in (";", "{", "}"):
+        if t == "=":
+            return True
+        if t == "(":
+            at = k - 1
+            while at >= 2 and toks[at - 1][1] == ".":
+                at -= 2
+            if match[k] < 0 or toks[at - 1][1] != "@":
+                return False
+            k = match[k]
+        k += 1
+    return False
+
+
 def _declares(f: File, toks: list, i: int, n: int, match: list[int], fn: str, language: str) -> None:
     """A declaration of variables at a statement's start."""
     k = i
@@ -315,17 +383,10 @@ def _declares(f: File, toks: list, i: int, n: int, match: list[int], fn: str, la
         if toks[k][1] in ("return", "if", "else", "delete", "throw", "case", "goto", "new", "using", "break", "continue", "do", "while", "for", "switch"):
             return
         k += 1
-        if k < n and toks[k][1] == "<":
-            depth = 0
-            for j in range(k, min(n, k + 30)):
-                depth += (toks[j][1] == "<") - (toks[j][1] == ">")
-                if depth == 0:
-                    k = j + 1
-                    break
-            else:
-                return
-        while k + 1 < n and (toks[k][1] == "::" or toks[k][1] == "[" and toks[k + 1][1] == "]"):
-            k += 2
+        while k + 1 < n and (toks[k][1] in ("::", "<") or toks[k][1] == "[" and toks[k + 1][1] == "]"):
+            k = _angles(toks, k, n) if toks[k][1] == "<" else k + 2
+        if k >= n:
+            return
         stars = k
         while k < n and toks[k][1] in ("*", "&"):
             k += 1
@@ -362,15 +423,15 @@ def _python(text: str) -> File:
                 f.entries.append(node.name)
                 fn = node.name
             elif isinstance(node, ast.Call):
-                callee = ast.get_source_segment(text, node.func) if not isinstance(node.func, (ast.Name, ast.Attribute)) else ast.unparse(node.func)
+                callee = _dotted(node.func) or (ast.unparse(node.func) if isinstance(node.func, ast.Attribute) else ast.get_source_segment(text, node.func))
                 f.node("call", node.lineno, callee, depth)
                 if fn:
                     f.call(fn, callee or "", node.lineno, [])
             elif isinstance(node, ast.Assign):
                 f.node("assignment", node.lineno, None, depth)
                 if fn:
-                    f.variables.append({"name": ast.unparse(node.targets[0]), "type": "dynamic", "fn": fn, "line": node.lineno, "is_pointer": False, "is_array": False, "array_size": None})
-            todo += [(c, fn, depth + 1) for c in reversed(list(ast.iter_child_nodes(node)))]
+                    f.variables.append({"name": _dotted(node.targets[0]) or ast.unparse(node.targets[0]), "type": "dynamic", "fn": fn, "line": node.lineno, "is_pointer": False, "is_array": False, "array_size": None})
+            todo += [(c, fn, depth + 1) for c in reversed(_children(node))]
 
     visit(tree, None, 0)
     if "__name__" in text and "__main__" in text:
@@ -378,13 +439,33 @@ def _python(text: str) -> File:
     return f
 
 
+def _children(node: ast.AST) -> list[ast.AST]:
+    """The nodes below a node, but those that hold nothing."""
+    out: list[ast.AST] = []
+    for v in node.__dict__.values():
+        if v.__class__ is list:
+            out += [x for x in v if isinstance(x, ast.AST)]
+        elif isinstance(v, ast.AST) and v._fields:
+            out.append(v)
+    return out
+
+
+def _dotted(node: ast.AST) -> str | None:
+    """A name, or attributes of a name, as written; None for anything else."""
+    names: list[str] = []
+    while isinstance(node, ast.Attribute):
+        names.append(node.attr)
+        node = node.value
+    return ".".join([node.id, *reversed(names)]) if isinstance(node, ast.Name) else None
+
+
 def _loop_depth(node: ast.AST) -> int:
     deepest, todo = 0, [(node, 0)]
     while todo:
         x, d = todo.pop()
         d += isinstance(x, (ast.For, ast.AsyncFor, ast.While))
         deepest = max(deepest, d)
-        todo += [(c, d) for c in ast.iter_child_nodes(x)]
+        todo += [(c, d) for c in _children(x) if not isinstance(c, ast.expr)]
     return deepest
 
 
@@ -436,21 +517,24 @@ def facts(files: DataFrame, *, text: str, lang: str, keep: tuple[str, ...]) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at: list[int] = []
-            cols: dict[str, list] = {c: [] for c in COLUMNS}
+            held, size = {k: ([], []) for k in KINDS}, 0
             for i, (t, g) in enumerate(zip(b["text"], b["lang"].to_pylist(), strict=True)):
-                for r in parsed(t.as_py(), g).rows():
-                    at.append(i)
-                    for c in COLUMNS:
-                        cols[c].append(r.get(c))
-                if len(at) > 50_000:
-                    yield batch(b, at, cols)
-                    at, cols = [], {c: [] for c in COLUMNS}
-            yield batch(b, at, cols)
-
-    def batch(b: pa.RecordBatch, at: list[int], cols: dict[str, list]) -> pa.RecordBatch:
-        take = pa.array(at, pa.int64())
-        return pa.RecordBatch.from_arrays([*[b[k].take(take) for k in kept], b["lang"].take(take), *[pa.array(cols[c], t) for c, t in COLUMNS.items()]], [*kept, "lang", *COLUMNS])
+                for kind, found in parsed(t.as_py(), g).rows():
+                    at, facts_ = held[kind]
+                    at += [(i, o) for o in range(len(found))]
+                    facts_ += found
+                    size += len(found)
+                if size > 50_000:
+                    yield from batch(b, held)
+                    held, size = {k: ([], []) for k in KINDS}, 0
+            yield from batch(b, held)
+
+    def batch(b: pa.RecordBatch, held: dict[str, tuple[list, list]]) -> Iterator[pa.RecordBatch]:
+        for kind, (at, found) in held.items():
+            if found:
+                n, take = len(found), pa.array([i for i, _ in at], pa.int64())
+                cols = {c: pa.array([f.get(c) for f in found], COLUMNS[c]) for c in (*KINDS[kind], "fn") if c != "ord"} | {"kind": pa.repeat(kind, n), "ord": pa.array([o for _, o in at], pa.int32())}
+                yield pa.RecordBatch.from_arrays([*[b[k].take(take) for k in kept], b["lang"].take(take), *[cols[c] if c in cols else pa.nulls(n, t) for c, t in COLUMNS.items()]], [*kept, "lang", *COLUMNS])
 
     out = spread(rows).mapInArrow(run, ", ".join([*[f"{k} {types[k]}" for k in kept], "lang string", SCHEMA]))
     return out.select(*[F.col(k).alias(c) for k, c in zip(kept, keep, strict=True)], "lang", *COLUMNS)
