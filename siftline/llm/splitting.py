@@ -65,7 +65,10 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
         return [n]
     reach = limit - overlap
     even = (n - overlap) / -(-(n - overlap) // reach)
-    lines = _Layer(*boundaries(text))
+    places = boundaries(text)
+    if (found := _by_lines(*places, n, limit, overlap, even)) is not None:
+        return found
+    lines = _Layer(*places)
     spaces: _Layer | None = None
     loose: dict[int, tuple[float, int]] = {}
     best, last = math.inf, 0
@@ -108,6 +111,35 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
     return out[::-1]
 
 
+def _by_lines(at: np.ndarray, pay: np.ndarray, n: int, limit: int, overlap: int, even: float) -> list[int] | None:
+    """``cuts`` of a text that has a line end within reach of every line end; None for any other.
+
+    The same chain, but each place looks back at all it can be reached from at once."""
+    at = np.concatenate([[0], at])
+    far = at + np.where(np.arange(len(at)) == 0, limit, limit - overlap)
+    step = max(overlap, 1)
+    if not ((far >= n) | (np.searchsorted(at, at + step) < np.searchsorted(at, np.minimum(far, n - 1), "right"))).all():
+        return None
+    low = np.searchsorted(at, at - (limit - overlap))
+    low[at <= limit] = 0
+    high = np.searchsorted(at, at - step, "right")
+    old = np.where(np.arange(len(at)) == 0, overlap, at).astype(float)  # the first piece repeats nothing
+    cost, came = np.full(len(at), np.inf), np.zeros(len(at), np.int64)
+    cost[0] = 0.0
+    for j, (a, b, p, c) in enumerate(zip(low.tolist(), high.tolist(), at.tolist(), [0.0, *pay.tolist()], strict=True)):
+        if j and a < b:
+            total = cost[a:b] + c + ((p - even - old[a:b]) / even) ** 2
+            k = int(total.argmin())
+            cost[j], came[j] = total[k], a + k
+    last = np.flatnonzero(far >= n)
+    k = int(last[(cost[last] + ((n - even - old[last]) / even) ** 2).argmin()])
+    out = [n]
+    while k:
+        out.append(int(at[k]))
+        k = int(came[k])
+    return out[::-1]
+
+
 class _Layer:
     """Boundaries of one sort: place, penalty, least cost so far and where from."""
 
