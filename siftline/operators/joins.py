@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: A side is broadcast only if its estimated size is at most this; beyond it, the join shuffles.
 BROADCAST_BYTES = 8 << 20
 
@@ -15,6 +17,73 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= BROADCAST_BYTES else df
 
 
+#: Rows of one key beyond which a join deals them out in blocks of so many.
+BLOCK = 4096
+
+
+def large(rows: DataFrame, group: str, block: int = BLOCK) -> DataFrame | None:
+    """``_g, _parts``: the groups of more than ``block`` rows and into how many blocks they go; None if there are
+    none.  There is at most one for every ``block`` rows; so few that they fit are marked for broadcast."""
+    found = cut(rows.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("_g", F.ceil(F.col("_n") / block).cast("int").alias("_parts")))
+    n = found.count()
+    return None if n == 0 else F.broadcast(found) if n * 64 <= BROADCAST_BYTES else found
+
+
+def _parts(rows: DataFrame, key: str, groups: DataFrame | None, name: str) -> DataFrame:
+    if groups is None:
+        return rows.withColumn(name, F.lit(1))
+    return rows.join(groups, F.col(key) == F.col("_g"), "left").withColumn(name, F.coalesce("_parts", F.lit(1))).drop("_g", "_parts")
+
+
+def _dealt(rows: DataFrame, key: str, member: str, groups: DataFrame | None, name: str) -> DataFrame:
+    return _parts(rows, key, groups, "_k").withColumn(name, F.pmod(F.xxhash64(member), F.col("_k")).cast("int")).drop("_k")
+
+
+def _every(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def with_unique(rows: DataFrame, unique: DataFrame, key: str, by: str, block: int = BLOCK) -> DataFrame:
+    """``rows`` with the columns of ``unique``, which has one row a key.  Keys of many rows are dealt out by ``by``,
+    and their one row is repeated for each block."""
+    groups = large(rows, key, block)
+    if groups is None:
+        return rows.join(unique, key)
+    return _dealt(rows, key, by, groups, "_b").join(_parts(unique, key, groups, "_k").withColumn("_b", _every("_k")).drop("_k"), [key, "_b"]).drop("_b")
+
+
+def in_blocks(left: DataFrame, right: DataFrame, key: str, by: tuple[str, str], condition: Column, block: int = BLOCK) -> DataFrame:
+    """The join of ``left`` and ``right`` (other columns of other names) on ``key`` and the condition, with keys of
+    many rows on either side cut into pairs of blocks."""
+    a, b = large(left, key, block), large(right, key, block)
+    l, r = left.withColumnRenamed(key, "_l"), right.withColumnRenamed(key, "_r")
+    if a is None and b is None:
+        return l.join(r, (F.col("_l") == F.col("_r")) & condition).withColumnRenamed("_l", key).drop("_r")
+    l = _parts(_dealt(l, "_l", by[0], a, "_i"), "_l", b, "_k").withColumn("_j", _every("_k")).drop("_k")
+    r = _parts(_dealt(r, "_r", by[1], b, "_y"), "_r", a, "_k").withColumn("_x", _every("_k")).drop("_k")
+    met = l.join(r, (F.col("_l") == F.col("_r")) & (F.col("_i") == F.col("_x")) & (F.col("_j") == F.col("_y")) & condition)
+    return met.withColumnRenamed("_l", key).drop("_r", "_i", "_j", "_x", "_y")
+
+
+def members(links: DataFrame, a: str, b: str, left: DataFrame, right: DataFrame, group: str, member: str, block: int = BLOCK) -> DataFrame:
+    """``member_a, member_b``: for each link of groups ``a`` and ``b`` every member of ``a`` in ``left`` with every
+    member of ``b`` in ``right``, large groups in pairs of blocks.  Members of a group linked to itself come once,
+    the smaller first."""
+    x = large(left, group, block)
+    y = x if left is right else large(right, group, block)
+    asked = _parts(_parts(links.select(F.col(a).alias("_a"), F.col(b).alias("_c")), "_a", x, "_x"), "_c", y, "_y")
+    asked = asked.select("_a", "_c", "_y", _every("_x").alias("_i")).select("_a", "_c", "_i", _every("_y").alias("_j"))
+    side = lambda rows, groups, g, m, i: _dealt(rows.select(F.col(group).alias(g), F.col(member).alias(m)), g, m, groups, i)
+    met = asked.join(side(left, x, "_a", "member_a", "_i"), ["_a", "_i"]).join(side(right, y, "_c", "member_b", "_j"), ["_c", "_j"])
+    return met.where((F.col("_a") != F.col("_c")) | (F.col("member_a") < F.col("member_b"))).select("member_a", "member_b")
+
+
+def within(rows: DataFrame, group: str, member: str, block: int = BLOCK) -> DataFrame:
+    """``member_a, member_b``, the smaller first: all pairs of members of one group."""
+    several = rows.groupBy(group).agg(F.count("*").alias("_n")).where("_n > 1").select(F.col(group).alias("_s"), F.col(group).alias("_t"))
+    return members(several, "_s", "_t", rows, rows, group, member, block)
+
+
 def first_covering(points: DataFrame, spans: DataFrame, keys: list[str], at: str, start: str, end: str, order: str, id_: list[str], take: list[str], open_end: bool = True) -> DataFrame:
     """Each point with ``take`` of the first span in ``order`` of equal keys that covers it, from ``start``
     included to ``end`` excluded (null: open, if ``open_end``); nulls where none does."""
