@@ -115,10 +115,10 @@ def shingles(texts: pa.Array, width: int = 3, least: int = LEAST_WORDS) -> tuple
     return keys & MASK, begin
 
 
-def set_ids(sets: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """A 63-bit id of each row's set; rows with equal sets, and only they, have equal ids."""
+def set_ids(sets: np.ndarray, begin: np.ndarray, salt: int = 0x5851F42D4C957F2D) -> np.ndarray:
+    """A 64-bit id of each row's set, another for another salt."""
     n = np.diff(begin)
     ids = np.zeros(len(n), np.uint64)
     if full := np.flatnonzero(n).tolist():
-        ids[full] = np.add.reduceat(mix(sets + np.uint64(0x5851F42D4C957F2D)), begin[:-1][full])
-    return (mix(ids + n.astype(np.uint64)) >> np.uint64(1)).astype(np.int64)
+        ids[full] = np.add.reduceat(mix(sets + np.uint64(salt)), begin[:-1][full])
+    return mix(ids + n.astype(np.uint64))

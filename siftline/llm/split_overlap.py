@@ -12,6 +12,7 @@ by a banded dynamic program over the two strings.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bloom
+from ..operators import joins
 from ..session import cut
 from . import sets
 from . import shingles as S
@@ -27,8 +29,10 @@ from . import shingles as S
 _SEGMENTS = "k bigint, c bigint, n int, p int"
 #: Numbers in the table of one batch of dynamic programs, 16 MB.
 _CELLS = 1 << 21
-#: Strings longer than this are compared by merging: as they are sorted, that gives the same distance.
-_LONG = 1 << 13
+#: Segments in one Bloom filter, 16 MB at 16 bits each; more go by ranges of their hash, one filter after another.
+IN_FILTER = bloom.MOST_BITS // 16
+#: Rows of one segment, and pairs of one class, beyond which a join deals them out.
+BLOCK, PAIRS = 4096, 1 << 16
 
 
 def most_edits(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -55,74 +59,99 @@ def segments(n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray,
     return which, start, end - start
 
 
-def lengths(most: int, num: int, den: int) -> dict[int, int]:
-    """For each length that a segment can have, the longest string with such a segment (0: any)."""
+def lengths(num: int, den: int) -> dict[int, int]:
+    """For each length that a segment can have, the longest string with such a segment (0: any).
+
+    With r = num / (den - num), a string of n is cut into pieces of n / m, floor and ceiling, where m grows by
+    (den - num)(den + num) for each num(den + num) more in n, just by the factor r.  From n = r * r on, n / m lies
+    within 1 of r and comes closer from its side in every such period; so one period beyond that shows all
+    lengths that ever occur there, and the strings before are looked at one by one."""
+    d = math.gcd(num, den)
+    num, den = num // d, den // d
+    early = (num // (den - num) + 1) ** 2 + 1
+    n = np.arange(1, early + num * (den + num) + 1, dtype=np.int64)
+    m = most_edits(n, den * n // num, num, den) + 1
     out: dict[int, int] = {}
-    n = np.arange(1, most + 1)
-    which, _, size = segments(n, num, den)
-    for x in np.unique(size[size > 0]):
-        longest = int(n[which[size == x]].max())
-        out[int(x)] = 0 if longest > most * 3 // 4 else longest
-    return out
+    for size in (n // m, -(-n // m)):
+        for late in (False, True):  # in order of n, so that the longest stays
+            here = (n > early) == late
+            found = np.unique(size[here])
+            for x in found[found > 0].tolist():
+                out[x] = 0 if late or out.get(x) == 0 else max(out.get(x, 0), int(n[here & (size == x)].max()))
+    return dict(sorted(out.items()))
 
 
 def _eval_segments(df: DataFrame, num: int, den: int, width: int, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         for b in batches:
             points, begin = S.shingles(b["text"], width, least)
-            cls, n = sets.classes(points, begin, b["tag"]), np.diff(begin)
-            new = []
-            for r in np.flatnonzero(n).tolist():
-                if (c := int(cls[r])) not in seen:
-                    seen.add(c)
-                    new.append(r)
-            if not new:
+            both, c = sets.classes(points, begin, b["tag"])
+            n, rows = np.diff(begin), sets.fresh(both, np.diff(begin), seen)
+            if not len(rows):
                 continue
-            rows = np.array(new)
             which, start, size = segments(n[rows], num, den)
             row = rows[which]
             k = np.zeros(len(row), np.uint64)
             for x in np.unique(size):
                 at = size == x
                 k[at] = _windows(points, begin, int(x), begin[row[at]] + start[at])
-            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(cls[row]), pa.array(n[row].astype(np.int32)), pa.array(start.astype(np.int32))], ["k", "c", "n", "p"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(c[row]), pa.array(n[row].astype(np.int32)), pa.array(start.astype(np.int32))], ["k", "c", "n", "p"])
 
     return df.mapInArrow(run, _SEGMENTS)
 
 
-def _train_substrings(df: DataFrame, filter_: np.ndarray, num: int, den: int, width: int, least: int) -> DataFrame:
-    """Substrings that pass the Bloom filter of all segments; nearly all others stay where they are."""
+def _range(k: Column, of: int) -> Column:
+    """The range, of so many, that a segment's hash falls in by its first eight bits."""
+    return F.pmod(F.shiftright(k, 56), F.lit(of))
+
+
+def _train_substrings(df: DataFrame, filter_: np.ndarray, number: int, of: int, num: int, den: int, width: int, least: int) -> DataFrame:
+    """Substrings of one range that pass the Bloom filter of its segments; nearly all others stay where they are."""
     shared = df.sparkSession.sparkContext.broadcast(filter_)
-    sizes = lengths(400, num, den)
+    sizes = lengths(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filter_, seen = shared.value, set()
+        filter_: np.ndarray = shared.value
+        seen: set[bytes] = set()
         for b in batches:
             points, begin = S.shingles(b["text"], width, least)
-            cls, n = sets.classes(points, begin, b["tag"]), np.diff(begin)
-            fresh = np.zeros(len(n), bool)
-            for r in np.flatnonzero(n).tolist():
-                if (c := int(cls[r])) not in seen:
-                    seen.add(c)
-                    fresh[r] = True
+            both, c = sets.classes(points, begin, b["tag"])
+            n, new = np.diff(begin), np.zeros(len(begin) - 1, bool)
+            new[sets.fresh(both, n, seen)] = True
             row = np.repeat(np.arange(len(n)), n)
             for size, longest in sizes.items():
-                fits = fresh[row] & (np.arange(len(points)) + size <= begin[row + 1])
+                fits = new[row] & (np.arange(len(points)) + size <= begin[row + 1])
                 if longest:
                     fits &= (n * num <= longest * den)[row]
                 start = np.flatnonzero(fits)
                 k = _windows(points, begin, size, start)
                 hit = bloom.hits(filter_, k)
+                if of > 1:
+                    hit &= (k.astype(np.int64) >> 56) % of == number
                 start, k = start[hit], k[hit]
                 r = row[start]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.astype(np.int64)), pa.array(cls[r]), pa.array(n[r].astype(np.int32)), pa.array((start - begin[r]).astype(np.int32))], ["k", "c", "n", "p"]
+                    [pa.array(k.astype(np.int64)), pa.array(c[r]), pa.array(n[r].astype(np.int32)), pa.array((start - begin[r]).astype(np.int32))], ["k", "c", "n", "p"]
                 )
 
     return df.mapInArrow(run, _SEGMENTS)
 
 
+def _offered(train: DataFrame, asked: DataFrame, in_filter: int, num: int, den: int, width: int, least: int) -> DataFrame:
+    """Substrings of training strings that may be segments: as many passes over the texts as the segments need
+    filters, at most 256, so that a filter is full only beyond 2 * 10**9 segments, and then only lets more pass."""
+    total = asked.count()
+    of = min(256, max(1, -(-total // in_filter)))
+    out: DataFrame | None = None
+    for i in range(of):
+        bits = bloom.bits_for(-(-total // of))
+        filter_ = bloom.collect(bloom.build(asked.where(_range(F.col("k"), of) == i) if of > 1 else asked, F.col("k"), bits), bits)
+        found = cut(_train_substrings(train, filter_, i, of, num, den, width, least).distinct())
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def banded(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.ndarray:
     """Edit distances (insertions and deletions) of pairs of strings, cells further than ``most`` from the
     diagonal left out; above ``most`` the value is only known to be larger.  One row of all bands at a time:
@@ -154,6 +183,8 @@ def banded(a: list[np.ndarray], b: list[np.ndarray], most: np.ndarray) -> np.nda
         new[j[None, :] > lb[:, None]] = far
         new[:, (j < 0)] = far
         now = np.minimum(new, far)
+        if not i & 63 and (now.min(axis=1) > most).all():
+            break  # no way within the bounds is left
         done = np.flatnonzero(la == i)
         if len(done):
             at = lb[done] - i + half
@@ -177,19 +208,16 @@ def _verify(pairs: DataFrame, num: int, den: int) -> DataFrame:
                 while hi < len(order) and (hi - lo + 1) * (len(x[order[hi]]) + 5 * int(most[order[hi]]) + 8) < _CELLS:
                     hi += 1
                 part = order[lo:hi]
-                if len(x[part[-1]]) > _LONG:
-                    edits[part] = [len(x[r]) + len(y[r]) - 2 * len(np.intersect1d(x[r], y[r], assume_unique=True)) for r in part]
-                else:
-                    edits[part] = banded([x[r] for r in part], [y[r] for r in part], most[part])
+                edits[part] = banded([x[r] for r in part], [y[r] for r in part], most[part])
                 lo = hi
             good = pa.array(edits <= most)
             yield pa.RecordBatch.from_arrays([b["cls_a"].filter(good), b["cls_b"].filter(good), pa.array(edits).filter(good)], ["cls_a", "cls_b", "edits"])
 
-    return pairs.select("cls_a", "cls_b", "set_a", "set_b").mapInArrow(run, "cls_a bigint, cls_b bigint, edits bigint")
+    return pairs.select("cls_a", "cls_b", "set_a", "set_b").mapInArrow(run, "cls_a binary, cls_b binary, edits bigint")
 
 
 def overlaps(
-    df: DataFrame, *, id_: str, text: str, split: str, train: str = "train", evaluation: tuple[str, ...] = ("test", "val"), num: int = 4, den: int = 5, width: int = 3, least: int = S.LEAST_WORDS
+    df: DataFrame, *, id_: str, text: str, split: str, train: str = "train", evaluation: tuple[str, ...] = ("test", "val"), num: int = 4, den: int = 5, width: int = 3, least: int = S.LEAST_WORDS, in_filter: int = IN_FILTER, block: int = BLOCK
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Evaluation rows, training rows (``id, cls, n`` each) and the links ``cls_a, cls_b, edits`` from
     evaluation classes to training classes of likeness >= num / den.
@@ -200,29 +228,25 @@ def overlaps(
     """
     side = F.when(F.col(split) == train, F.lit("t")).when(F.col(split).isin(*evaluation), F.lit("e"))
     prepared = sets.prepared(df, id_, text, side)
-    rows = cut(sets.rows_and_frequent(prepared, width, least).where("cls IS NOT NULL").select("id", "cls", "n", "vec", "tag"))
+    rows = cut(sets.rows_of(prepared, width, least))
     asked = cut(_eval_segments(prepared.where("tag = 'e'"), num, den, width, least).distinct())
-    bits = bloom.bits_for(asked.count())
-    filter_ = bloom.collect(bloom.build(asked, F.col("k"), bits), bits)
-    offered = _train_substrings(prepared.where("tag = 't'"), filter_, num, den, width, least).distinct()
-    e, t = (x.select(*[F.col(c).alias(f"{c}_{s}") for c in ("k", "c", "n", "p")]) for x, s in ((asked, "e"), (offered, "t")))
+    offered = _offered(prepared.where("tag = 't'"), asked, in_filter, num, den, width, least)
+    e, t = (x.select("k", *[F.col(c).alias(f"{c}_{s}") for c in ("c", "n", "p")]) for x, s in ((asked, "e"), (offered, "t")))
     x, d, both = F.col("p_t") - F.col("p_e"), F.col("n_t") - F.col("n_e"), F.col("n_t") + F.col("n_e")
     near = (den + num) * (F.abs(x) + F.abs(d - x)) <= (den - num) * both
-    pairs = e.join(t, (F.col("k_e") == F.col("k_t")) & near).select(F.col("c_e").alias("cls_a"), F.col("c_t").alias("cls_b")).distinct()
-    reps = rows.groupBy("cls").agg(F.min("id").alias("rep"))
-    pairs = cut(pairs.join(reps.select(F.col("cls").alias("cls_a"), F.col("rep").alias("rep_a")), "cls_a").join(reps.select(F.col("cls").alias("cls_b"), F.col("rep").alias("rep_b")), "cls_b"))
-    wanted = pairs.select(F.explode(F.array("rep_a", "rep_b")).alias("id")).distinct()
-    whole = sets.sets_of(prepared, wanted, width, least, bloom.bits_for(2 * pairs.count()))
-    links = _verify(sets.with_sets(pairs, whole), num, den)
-    of = lambda s: rows.where(F.col("tag") == s).select("id", "cls", "n")
-    return of("e"), of("t"), links
+    met = cut(joins.in_blocks(e, t, "k", ("c_e", "c_t"), near, block).select("c_e", "c_t").distinct())
+    reps = cut(rows.groupBy("tag", "cls", "c").agg(F.min("id").alias("rep")))
+    of = lambda s, i: reps.where(F.col("tag") == s).select(F.col("c").alias(f"c_{s}"), F.col("cls").alias(f"cls_{i}"), F.col("rep").alias(f"rep_{i}"))
+    pairs = cut(joins.with_unique(joins.with_unique(met, of("e", "a"), "c_e", "c_t", PAIRS), of("t", "b"), "c_t", "c_e", PAIRS).select("cls_a", "cls_b", "rep_a", "rep_b"))
+    links = _verify(sets.with_sets(pairs, prepared, width, least), num, den)
+    split_ = lambda s: rows.where(F.col("tag") == s).select("id", "cls", "n")
+    return split_("e"), split_("t"), links
 
 
 def pairs(evaluation: DataFrame, train: DataFrame, links: DataFrame) -> DataFrame:
     """``row_id_a, row_id_b``, smaller first: every evaluation row with every training row of a linked class."""
-    e, t = evaluation.select(F.col("id").alias("e"), F.col("cls").alias("cls_a")), train.select(F.col("id").alias("t"), F.col("cls").alias("cls_b"))
-    both = links.select("cls_a", "cls_b").join(e, "cls_a").join(t, "cls_b")
-    return both.select(F.least("e", "t").alias("row_id_a"), F.greatest("e", "t").alias("row_id_b")).distinct()
+    both = joins.members(links, "cls_a", "cls_b", evaluation, train, "cls", "id")
+    return both.select(F.least("member_a", "member_b").alias("row_id_a"), F.greatest("member_a", "member_b").alias("row_id_b")).distinct()
 
 
 def matches(evaluation: DataFrame, train: DataFrame, links: DataFrame) -> DataFrame:
@@ -232,7 +256,7 @@ def matches(evaluation: DataFrame, train: DataFrame, links: DataFrame) -> DataFr
     found = links.join(size, "cls_b").groupBy(F.col("cls_a").alias("cls")).agg(F.count("*").alias("n_links"), F.sum("rows").alias("n_rows"), F.sum(F.when(F.col("edits") == 0, F.col("rows")).otherwise(0)).alias("n_same"))
     reps = evaluation.groupBy("cls").agg(F.min("id").alias("class_id"))
     zero = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n_links", "n_rows", "n_same")]
-    return evaluation.join(reps, "cls").join(found, "cls", "left").select("id", "class_id", *zero)
+    return joins.with_unique(evaluation, reps.join(found, "cls", "left").select("cls", "class_id", *zero), "cls", "id", PAIRS).select("id", "class_id", "n_links", "n_rows", "n_same")
 
 
 def report(df: DataFrame, found: DataFrame, id_: str, split: str, source: Column, evaluation: tuple[str, ...] = ("test", "val")) -> DataFrame:

@@ -72,8 +72,9 @@ def test_words_and_shingles_equal_a_plain_count():
     assert (again == got).all() and (at == begin).all()
 
 
-@pytest.mark.parametrize("block", [8, 4096])
-def test_near_duplicates_equal_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "known"), [(8, 1 << 16), (8, 0), (4096, 1 << 16)])
+def test_near_duplicates_equal_all_pairs(spark, block, known, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "MOST_FREQUENT", known)  # with 0, large cells are only met while they are walked
     codes = corpus(7, 330, ["c", "C ", "go", None])
     df = spark.createDataFrame([(i, t, g, "x", 1) for i, (g, t) in codes.items()], "id bigint, code string, tag string, cls string, n int")
     rows, links = near_duplicates.near_duplicates(df.repartition(5), id_="id", text="code", tag=F.lower(F.trim("tag")), block=block)
@@ -86,10 +87,11 @@ def test_near_duplicates_equal_all_pairs(spark, block):
     assert all(group[a] == group[b] for a, b in got) and all(r.group_id <= r.class_id <= r.id for r in groups)
 
 
-def test_overlaps_equal_all_pairs(spark):
+@pytest.mark.parametrize(("in_filter", "block"), [(1 << 20, 4096), (700, 5)])
+def test_overlaps_equal_all_pairs(spark, in_filter, block):
     codes = corpus(11, 330, ["train", "train", "train", "test", "val", "other", None])
     df = spark.createDataFrame([(i, t, g, "s", "x") for i, (g, t) in codes.items()], "id bigint, raw string, split string, source string, text string")
-    found = split_overlap.overlaps(df.repartition(5), id_="id", text="raw", split="split")
+    found = split_overlap.overlaps(df.repartition(5), id_="id", text="raw", split="split", in_filter=in_filter, block=block)
     got = {tuple(r) for r in split_overlap.pairs(*found).collect()}
     side = {"train": "t", "test": "e", "val": "e"}
     want = brute({i: (side.get(g), t) for i, (g, t) in codes.items()}, 4, 5, lambda a, b: a != b)
@@ -114,8 +116,49 @@ def test_banded_distance_of_long_and_empty_strings():
     assert split_overlap.banded([a, a[:0], a], [b, b[:5], b[:0]], np.array([d, 10, 2000])).tolist() == [d, 5, 1500]
 
 
-def test_segments_cover_a_string_and_are_enough():
-    for n in range(1, 300):
-        which, start, size = split_overlap.segments(np.array([n]), 4, 5)
-        assert size.sum() == n and (size > 0).all() and len(size) == split_overlap.most_edits(np.array([n]), np.array([5 * n // 4]), 4, 5)[0] + 1
-        assert set(size.tolist()) <= {x for x, most in split_overlap.lengths(400, 4, 5).items() if not most or n <= most}
+@pytest.mark.parametrize(("num", "den", "most"), [(4, 5, 2000), (3, 4, 1500), (2, 3, 900), (99, 100, 40_000), (499, 500, 60_000)])
+def test_segments_cover_a_string_and_are_enough(num, den, most):
+    rng = random.Random(num)
+    known = split_overlap.lengths(num, den)
+    for n in [*range(1, 300), *(rng.randrange(1, most) for _ in range(300))]:
+        which, start, size = split_overlap.segments(np.array([n]), num, den)
+        assert size.sum() == n and (size > 0).all() and len(size) == split_overlap.most_edits(np.array([n]), np.array([den * n // num]), num, den)[0] + 1
+        assert set(size.tolist()) <= {x for x, longest in known.items() if not longest or n <= longest}
+
+
+def test_all_lengths_of_a_high_likeness():
+    known = split_overlap.lengths(999, 1000)
+    n = np.arange(1, 6_000_000, dtype=np.int64)
+    m = split_overlap.most_edits(n, 1000 * n // 999, 999, 1000) + 1
+    assert {*np.unique(n // m).tolist(), *np.unique(-(-n // m)).tolist()} == set(known)
+
+
+def test_banded_walks_strings_of_any_length():
+    rng = np.random.default_rng(5)
+    a = np.unique(rng.integers(0, 1 << 40, 9500))
+    b = np.union1d(np.delete(a, rng.choice(len(a), 40, replace=False)), rng.integers(0, 1 << 40, 35))
+    d = len(np.setxor1d(a, b))
+    most = split_overlap.most_edits(np.array([len(a)]), np.array([len(b)]), 4, 5)
+    assert split_overlap.banded([a], [b], np.minimum(most, 400)).tolist() == [d]
+    assert split_overlap.banded([a], [np.unique(rng.integers(0, 1 << 40, 9500))], np.array([50]))[0] > 50
+
+
+def test_tags_are_compared_whole():
+    a, b = sets.tag_hashes(pa.array(["x" + "y" * 500, "z" + "y" * 500]))
+    assert a != b
+
+
+def test_a_text_and_a_shingle_in_half_of_all_rows(spark):
+    rng = random.Random(9)
+    hot = " ".join(f"h{i}" for i in range(60))
+    texts = {i: hot if i % 2 else hot + " " + " ".join(rng.choice(WORDS) for _ in range(rng.choice([8, 40, 300]))) for i in range(240)}
+    df = spark.createDataFrame([(i, t, "c") for i, t in texts.items()], "id bigint, code string, tag string")
+    rows, links = near_duplicates.near_duplicates(df.repartition(6), id_="id", text="code", tag=F.col("tag"), block=16)
+    assert {tuple(r) for r in sets.expanded(links, rows).collect()} == brute({i: ("c", t) for i, t in texts.items()}, 3, 4, lambda a, b: a == b)
+
+
+def test_two_texts_under_one_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    df = spark.createDataFrame([(1, one, "c"), (1, two, "c"), (2, one + " more", "c"), (3, two + " more", "c")], "id bigint, code string, tag string")
+    rows, links = near_duplicates.near_duplicates(df, id_="id", text="code", tag=F.col("tag"))
+    assert {tuple(r) for r in sets.expanded(links, rows).collect()} == {(1, 2), (1, 3)}
