@@ -8,23 +8,23 @@ from siftline.llm import lookalikes as K
 SAME = [
     ("secure", "ѕесurе"), ("Top", "Τοp"), ("full_width 12", "ｆｕｌｌ＿ｗｉｄｔｈ　１２"), ("a b", "a\xa0b"), ("a b", "a b"), ("a b", "a b"), ("ab", "a​b"),
     ("ab", "a\xad‍‌⁠﻿b"), ("\xe9", "é"), ("\xe9", "ｅ́"), ("\xeb", "ё"), ("\xef", "ї"), ("한국", unicodedata.normalize("NFD", "한국")), ("が", "が"), ("\xc5", "Å"), ("K", "K"),
-    ("ΑΒΕΖ", "ABEZ"), ("он", "oн"), ("（x）", "(x)"), ("\U0001f469‍\U0001f4bb a", "\U0001f469‍\U0001f4bb​ a"), ("x", "x‮"), ("\xe0", "а̀"),
+    ("ΓΠΦ", "ГПФ"), ("ν", "v"), ("a\u3164b\u115f", "ab"), ("ΑΒΕΖ", "ABEZ"), ("он", "oн"), ("（x）", "(x)"), ("\U0001f469‍\U0001f4bb a", "\U0001f469‍\U0001f4bb​ a"), ("x", "x‮"), ("\xe0", "а̀"),
 ]
 DIFFERENT = [
-    ("a", "A"), ("e", "é"), ("1", "l"), ("1", "I"), ("0", "O"), ("2", "²"), ("-", "–"), ("–", "—"), ("a b", "a  b"), ("a b", "a\tb"), ("a b", "a\nb"), ("👩‍💻", "👩💻"), ("👨‍🔬", "👩‍🔬"), ("rn", "m"), ("к", "k"), ("в", "b"), ("н", "h"),
+    ("Л", "Λ"), ("Г", "Т"), ("a", "A"), ("e", "é"), ("1", "l"), ("1", "I"), ("0", "O"), ("2", "²"), ("-", "–"), ("–", "—"), ("a b", "a  b"), ("a b", "a\tb"), ("a b", "a\nb"), ("👩‍💻", "👩💻"), ("👨‍🔬", "👩‍🔬"), ("rn", "m"), ("к", "k"), ("в", "b"), ("н", "h"),
     ("α", "a"), ("...", "…"), ("½", "1/2"), ("a", "ª"), ("ß", "β"), ("f", "ƒ"), ("ab", "a b"), ("", "a"), ("и", "й"), ("é", "è"),
 ]
 
 
 @pytest.mark.parametrize(("a", "b"), SAME)
 def test_alike(a, b):
-    v = K.Vocabulary({"oн": "он"})
+    v = K.Vocabulary(["он"])
     assert a != b and K.classes(a) == K.classes(b) and v.form(a) == v.form(b)
 
 
 @pytest.mark.parametrize(("a", "b"), DIFFERENT)
 def test_not_alike(a, b):
-    v = K.Vocabulary({})
+    v = K.Vocabulary([])
     assert K.classes(a) != K.classes(b) and v.form(a) != v.form(b)
 
 
@@ -33,7 +33,8 @@ def test_forms_agree_with_classes_whatever_the_vocabulary():
     parts = list("aеoсбвгиё éｘ１ ​\xa0-.,") + ["й", "́", "да", "нет", "👩‍💻", "⚠️", "\n", "한"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) for _ in range(6000)]
     words = {K.classes(s): s for t in texts for w in K._WORD.findall(t) if (s := K.spelling(w)) is not None and rng.random() < 0.5}
-    v = K.Vocabulary(words)
+    v = K.Vocabulary(list(words.values()))
+    assert any(w.isascii() for w in words.values()) and not all(w.isascii() for w in words.values())
     by_form, by_class = {}, {}
     for t in texts:
         by_form.setdefault(v.form(t), set()).add(K.classes(t))
@@ -42,18 +43,25 @@ def test_forms_agree_with_classes_whatever_the_vocabulary():
     assert all(v.form(f) == f for f in by_form)
 
 
-def test_automaton_costs():
-    v = K.Vocabulary({"a": "привет", "b": "при"})
-    assert v.follow("пр​ивeт") == [(0, "привет")]
-    assert v.follow("привт") == [] and v.follow("привт", 1) == [(1, "привет")]
-    assert v.follow("пр", 1) == [(1, "при")] and v.follow("xпри", 1) == [(1, "при")] and v.follow("прa", 1) == [(1, "при")]
+def test_automaton():
+    v = K.Vocabulary(["привет", "при", "paypal", "сорт", "copy", "café"])
+    assert v.follow("пр\u200bивeт") == "привет" and v.follow("привт") is v.follow("привета") is v.follow("прив") is None
+    assert v.follow("p\u0430yp\u0430l") == "paypal" and v.follow("ｐａyраl") == "paypal" and v.follow("Paypal") is None
+    assert v.follow("coрт") == "сорт" and v.follow("сорy") == "copy"  # two scripts alive at once
+    assert v.follow("c\u0430fe\u0301") == "café" and v.follow("cafe") is None and v.follow("") is None
+
+
+def test_mixed_latin_words_go_through_the_trie():
+    v = K.Vocabulary(["paypal"])
+    assert v.form("to p\u0430yp\u0430l now") == "to paypal now" and (v.found, v.missed) == (1, 0)
+    assert v.form("to p\u0430yp\u0430l! and \u0430nother") == "to paypal! and another" and v.missed == 1
 
 
 def test_vocabulary_takes_the_commonest_spelling(spark):
-    df = spark.createDataFrame([(1, "ответ ответ oтвет"), (2, "ответ нет"), (3, None), (4, "plain secure"), (5, "сор")], "k int, t string")
-    words = K.vocabulary(df, "t")
-    assert words[K.classes("ответ")] == "ответ" and words[K.classes("нет")] == "нет" and "cop" not in words
-    assert len(K.vocabulary(df, "t", 1)) == 1
+    df = spark.createDataFrame([(1, "ответ ответ oтвет"), (2, "ответ нет"), (3, None), (4, "plain secure"), (5, "сор"), (6, "p\u0430yp\u0430l paypal, paypal")], "k int, t string")
+    words = set(K.vocabulary(df, "t"))
+    assert {"ответ", "нет", "plain", "secure", "paypal", "cop"} == words  # all of the last word's classes are Latin
+    assert K.vocabulary(df, "t", 1) == ["ответ"]
 
 
 def test_table(spark):
