@@ -10,7 +10,8 @@ Two things make it fast.  Stacks are cut at brackets: what lies between brackets
 them, as the sets of inner rules that are alive and, at the closing bracket, of those that are complete.  And
 nodes and sets of descriptors are stored once and compared by identity, independent of the place in a text, so
 that each set's step by a run of tokens is computed once per process and found in a dictionary thereafter.
-The grammars must have no left recursion, which is checked; nested repetition takes its place.
+Rules may be left recursive: a call at a place where the same rule is being called adds an edge to the node that
+is there, and nodes that so call each other in a circle are stored together.
 """
 
 from __future__ import annotations
@@ -91,6 +92,7 @@ class Grammar:
         self.nodes: dict = {}
         self.states: dict = {}
         self.starts: dict = {}
+        self.circles: dict = {}
         self.size = 0
         self._read(text)
         for r in list(self.rules.values()):
@@ -98,7 +100,6 @@ class Grammar:
                 raise ValueError(f"no rule {r.name}")
             r.start, end = self._build(r.body)
             end.end = True
-        self._no_left_recursion()
 
     # -- reading ------------------------------------------------------------------------------------------
     def _rule(self, name: str) -> Rule:
@@ -188,44 +189,6 @@ class Grammar:
                 e.skips.append(s)
         return a, b
 
-    def _no_left_recursion(self) -> None:
-        empty: set = set()
-        changed = True
-
-        def first(rule: Rule) -> tuple[set, bool]:
-            called, seen, todo, end = set(), set(), [rule.start], False
-            while todo:
-                p = todo.pop().settle()
-                if id(p) in seen:
-                    continue
-                seen.add(id(p))
-                end |= p.end
-                for r, to in p.calls:
-                    called.add(r)
-                    if r in empty:
-                        todo.append(to)
-            return called, end
-
-        while changed:
-            changed = False
-            for r in self.rules.values():
-                if r not in empty and first(r)[1]:
-                    empty.add(r)
-                    changed = True
-        graph = {r: first(r)[0] for r in self.rules.values()}
-        done: set = set()
-
-        def visit(r: Rule, path: tuple) -> None:
-            if r in path:
-                raise ValueError("left recursion: " + " > ".join(p.name for p in (*path[path.index(r) :], r)))
-            if r not in done:
-                for s in graph[r]:
-                    visit(s, (*path, r))
-                done.add(r)
-
-        for r in graph:
-            visit(r, ())
-
     # -- recognising --------------------------------------------------------------------------------------
     def start(self, rules: frozenset) -> State:
         """The state before the first token of any of the rules (names, or Rule objects between brackets)."""
@@ -279,16 +242,8 @@ class Grammar:
                     todo.extend(node.edges)
                 elif not isinstance(node.edges, set):
                     done.add(node.rule)
-        frozen: dict[int, Node] = {}
-
-        def freeze(n: Node) -> Node:
-            if not isinstance(n.edges, set):
-                return n
-            if (f := frozen.get(id(n))) is None:
-                f = frozen[id(n)] = self._node(n.rule, frozenset((to, freeze(p)) for to, p in n.edges))
-            return f
-
-        items = frozenset([(k, to, freeze(n)) for k, to, n in waiting] + [(k, i, to, freeze(n)) for k, i, to, n in entering])
+        frozen = self._stored([x[-1] for x in (*waiting, *entering)])
+        items = frozenset((*x[:-1], frozen.get(x[-1], x[-1])) for x in (*waiting, *entering))
         key = (items, frozenset(done))
         if not items and not done:
             return None
@@ -304,6 +259,47 @@ class Grammar:
             s = self.states[key] = State(terms, opens, frozenset(done))
         return s
 
+    def _stored(self, nodes: list[Node]) -> dict[Node, Node]:
+        """The stored equals of new nodes and of those they go on to; circles of calls at once (Tarjan's components)."""
+        frozen: dict[Node, Node] = {}
+        index: dict[Node, int] = {}
+        low: dict[Node, int] = {}
+        open_: list[Node] = []
+
+        def visit(n: Node) -> None:
+            index[n] = low[n] = len(index)
+            open_.append(n)
+            for _, p in n.edges:
+                if isinstance(p.edges, set):
+                    if p not in index:
+                        visit(p)
+                        low[n] = min(low[n], low[p])
+                    elif p not in frozen:
+                        low[n] = min(low[n], index[p])
+            if low[n] == index[n]:
+                at = open_.index(n)
+                circle = open_[at:]
+                del open_[at:]
+                if len(circle) == 1 and all(p is not n for _, p in n.edges):
+                    frozen[n] = self._node(n.rule, frozenset((to, frozen.get(p, p)) for to, p in n.edges))
+                else:
+                    store(circle)
+
+        def store(circle: list[Node]) -> None:
+            inside = set(circle)  # at one place a rule has one node, so that rules name the circle's own
+            key = frozenset((x.rule, frozenset((to, p.rule if p in inside else frozen.get(p, p)) for to, p in x.edges)) for x in circle)
+            if (known := self.circles.get(key)) is None:
+                self.size += len(circle)
+                known = self.circles[key] = {x.rule: Node(x.rule) for x in circle}
+                for x in circle:
+                    known[x.rule].edges = frozenset((to, known[p.rule] if p in inside else frozen.get(p, p)) for to, p in x.edges)
+            frozen.update((x, known[x.rule]) for x in circle)
+
+        for n in nodes:
+            if isinstance(n.edges, set) and n not in index:
+                visit(n)
+        return frozen
+
     def token(self, s: State, kind: str) -> State | None:
         found = s.terms.get(kind)
         return self._close(found) if found else None
@@ -358,7 +354,7 @@ class Grammar:
     def accepts(self, starts: frozenset, chunks: list[str]) -> bool:
         """Whether the tokens, given in runs, are a text of one of the start rules."""
         if self.size > MOST_KEPT:  # what is remembered has a bound; it builds up again
-            self.nodes, self.states, self.starts, self.size = {}, {}, {}, 0
+            self.nodes, self.states, self.starts, self.circles, self.size = {}, {}, {}, {}, 0
         now = self.start(starts)
         stack: list = []
         for chunk in chunks:

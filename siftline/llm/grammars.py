@@ -1,7 +1,8 @@
 """Grammars of the five languages, in the EBNF of ``gll``, written from the languages' standards.
 
 NAME, NUM, STR and so on are classes of tokens; rules are in lower case.  They are recognisers: operators of
-all ranks form one list, as rank does not decide whether a text is valid.
+all ranks form one list, as rank does not decide whether a text is valid.  Lists may be left recursive, as the
+standards write them, or repetitions.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 C_WORDS = "auto break case char const continue default do double else enum extern float for goto if inline int long register restrict return short signed sizeof static struct switch typedef union unsigned void volatile while _Alignas _Alignof _Atomic _Bool _Complex _Generic _Imaginary _Noreturn _Static_assert _Thread_local"
 C_SIGNS = "... <<= >>= -> ++ -- << >> <= >= == != && || += -= *= /= %= &= ^= |= . & * + - ~ ! / % < > ^ | ? : = , ;"
 
-CPP_WORDS = "alignas alignof asm auto bool break case catch char char8_t char16_t char32_t class concept const consteval constexpr constinit const_cast continue co_await co_return co_yield decltype default delete do double dynamic_cast else enum explicit export extern false float for friend goto if inline int long mutable namespace new noexcept nullptr operator private protected public register reinterpret_cast requires return short signed sizeof static static_assert static_cast struct switch template this thread_local throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while final override"
+CPP_WORDS = "alignas alignof asm auto bool break case catch char char8_t char16_t char32_t class concept const consteval constexpr constinit const_cast continue co_await co_return co_yield decltype default delete do double dynamic_cast else enum explicit export extern false float for friend goto if inline int long mutable namespace new noexcept nullptr operator private protected public register reinterpret_cast requires return short signed sizeof static static_assert static_cast struct switch template this thread_local throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while final override module import"
 CPP_SIGNS = "<=> ... <<= >>= ->* .* -> ++ -- << <= >= == != && || += -= *= /= %= &= ^= |= :: . & * + - ~ ! / % < > ^ | ? : = , ;"
 
 JAVA_WORDS = "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null _ var record sealed permits yield when module open requires transitive exports opens to uses provides with"
@@ -56,22 +57,25 @@ statement = NAME ':' statement | 'case' cond ':' statement | 'default' ':' state
   | 'if' '(' expr ')' statement [ 'else' statement ] | 'switch' '(' expr ')' statement | 'while' '(' expr ')' statement
   | 'do' statement 'while' '(' expr ')' ';' | 'for' '(' ( declaration | [ expr ] ';' ) [ expr ] ';' [ expr ] ')' statement
   | 'goto' NAME ';' | 'continue' ';' | 'break' ';' | 'return' [ expr ] ';' ;
-expr = assign { ',' assign } ;
+expr = assign | expr ',' assign ;
 assign = { unary assignop } cond ;
 assignop = '=' | '*=' | '/=' | '%=' | '+=' | '-=' | '<<=' | '>>=' | '&=' | '^=' | '|=' ;
 cond = binary { '?' expr ':' binary } ;
-binary = cast { binop cast } ;
+binary = cast | binary binop cast ;
 binop = '*' | '/' | '%' | '+' | '-' | '<<' | '>>' | '<' | '>' | '<=' | '>=' | '==' | '!=' | '&' | '^' | '|' | '&&' | '||' ;
 cast = { '(' typename ')' } unary ;
 unary = ( '++' | '--' ) unary | ( '&' | '*' | '+' | '-' | '~' | '!' ) cast | 'sizeof' ( unary | '(' typename ')' ) | '_Alignof' '(' typename ')' | postfix ;
-postfix = ( primary | '(' typename ')' braces ) { '[' expr ']' | '(' [ assign { ',' assign } ] ')' | '.' NAME | '->' NAME | '++' | '--' } ;
+postfix = primary | '(' typename ')' braces | postfix ( '[' expr ']' | '(' [ assign { ',' assign } ] ')' | '.' NAME | '->' NAME | '++' | '--' ) ;
 primary = NAME | NUM | CHAR | STR { STR } | '(' expr ')' | '_Generic' '(' assign ',' choice { ',' choice } ')' ;
 choice = ( typename | 'default' ) ':' assign ;
 """
 
 CPP = """
-cpp20 = { declaration } ;
-name = NAME | 'final' | 'override' ;
+cpp20 = { declaration | moduleimport } ;
+cpp20module = [ 'module' ';' { declaration } ] [ 'export' ] 'module' modulename [ ':' modulename ] { attribute } ';' { declaration | moduleimport } [ 'module' ':' 'private' ';' { declaration } ] ;
+moduleimport = [ 'export' ] 'import' ( modulename | ':' modulename | STR | '<' name { ( '.' | '/' ) name } '>' ) { attribute } ';' ;
+modulename = name { '.' name } ;
+name = NAME | 'final' | 'override' | 'module' | 'import' ;
 attribute = '[' '[' [ attr { ',' attr } ] ']' ']' | 'alignas' '(' ( typeid | cond ) ')' ;
 attr = [ NAME [ '::' NAME ] [ '(' [ exprs ] ')' ] [ '...' ] ] ;
 declaration = ';' | variable | binding | function | namespace | using | template | 'extern' STR ( '{' { declaration } '}' | declaration )

@@ -13,7 +13,8 @@ from . import grammars as G
 _CLASSES = {"NAME": "a", "NUM": "0", "STR": "s", "CHAR": "c", "BYTES": "b", "NEWLINE": "\n", "INDENT": "\x01", "DEDENT": "\x02"}
 #: Of what no grammar accepts.
 WRONG = "?"
-_IF, _ELSE, _ENDIF = "\ue001", "\ue002", "\ue003"
+#: Of conditions: one that may hold or not, one that never does, one that always does; what goes on, and the end.
+_IF, _NEVER, _ALWAYS, _ELSE, _ENDIF = "\ue001", "\ue004", "\ue005", "\ue002", "\ue003"
 #: Spellings remembered per language, before they are forgotten and learnt anew.
 _MOST = 200_000
 
@@ -58,7 +59,7 @@ class Lexer(dict):
         return "".join(map(self.__getitem__, self.pattern.findall(text)))
 
     def read(self, text: str) -> list[list[str]] | None:
-        """One or more ways to read the file; it is right if any of them is."""
+        """The ways in which the file may be read; it is right if all of them are."""
         s = self.string(text)
         return None if WRONG in s else [self._chunk.findall(s)]
 
@@ -79,6 +80,8 @@ class C(Lexer):
     skipped = _C_SPACE
     tokens = rf"{_C_LINE}|{_C_TEXT}|{_C_CHAR}|{_NAME}|{_C_NUMBER}|/\*"
     number = re.compile(f"(?:{_INT}|{_FLOAT})")
+    #: Whether ``__cplusplus`` is defined.
+    plus = False
 
     def kind(self, token: str) -> str:
         if (m := _DIRECTIVE.match(token)) is not None:
@@ -93,7 +96,10 @@ class C(Lexer):
 
     def directive(self, name: str, rest: str) -> str:
         if name in ("if", "ifdef", "ifndef"):
-            return _IF if rest.strip() else WRONG
+            rest = re.sub(r"/\*.*?\*/|//.*", " ", rest, flags=re.S).strip()
+            if rest == "__cplusplus" and name != "if":
+                return _ALWAYS if self.plus == (name == "ifdef") else _NEVER
+            return WRONG if not rest else _NEVER if name == "if" and rest == "0" else _ALWAYS if name == "if" and rest == "1" else _IF
         if name in ("else", "elif"):
             return _ELSE
         if name == "endif":
@@ -110,37 +116,92 @@ class C(Lexer):
         s = self.string(text)
         if WRONG in s:
             return None
-        if _IF not in s and _ELSE not in s and _ENDIF not in s:
+        if not _CONDITION.search(s):
             return [self._chunk.findall(s)]
-        ways = [self.branch(s, first) for first in (True, False)]
-        return None if None in ways else [self._chunk.findall(w) for w in ways]
-
-    def branch(self, s: str, first: bool) -> str | None:
-        """The text with the first, or the last, branch of each condition; None if they don't match up."""
-        stack: list[list[str]] = []
-        now: list[str] = []
-        parts: list[list] = []
-        for piece in re.split(f"([{_IF}{_ELSE}{_ENDIF}])", s):
-            if piece == _IF:
-                stack.append(now)
-                parts.append([])
-                now = []
+        ways = self.ways(s)
+        return None if ways is None else [self._chunk.findall(w) for w in ways]
+
+    @staticmethod
+    def ways(s: str) -> list[str] | None:
+        """Texts that hold every branch of every condition at least once; None if conditions don't match up.
+
+        The first takes the first branches everywhere, the second the second (or last) ones and so on, as the
+        conditions of a file mostly go together; a branch that is in none of these gets a text of its own, so that
+        there are at most as many texts as branches.  Branches that no compiler reads are left out."""
+        root = now = _Branch(None, 0)
+        every: list[_Branch] = []
+        for piece in _CONDITION.split(s):
+            if piece in (_IF, _NEVER, _ALWAYS):
+                group = _Group(now, piece)
+                now.parts.append(group)
+                every.append(now := group.open())
             elif piece in (_ELSE, _ENDIF):
-                if not stack:
+                if now.group is None:
                     return None
-                parts[-1].append("".join(now))
-                now = []
                 if piece == _ENDIF:
-                    chosen = parts.pop()[0 if first else -1]
-                    now = stack.pop()
-                    now.append(chosen)
+                    now = now.group.outer
+                else:
+                    every.append(now := now.group.open())
             else:
-                now.append(piece)
-        return None if stack else "".join(now)
+                now.parts.append(piece)
+        if now is not root:
+            return None
+        covered: set[_Branch] = set()
+
+        def text(i: int, forced: dict[_Group, _Branch]) -> str:
+            out, todo = [], [iter(root.parts)]
+            while todo:
+                for x in todo[-1]:
+                    if isinstance(x, str):
+                        out.append(x)
+                    elif live := x.live():
+                        branch = forced.get(x) or live[min(i, len(live) - 1)]
+                        covered.add(branch)
+                        todo.append(iter(branch.parts))
+                        break
+                else:
+                    todo.pop()
+            return "".join(out)
+
+        found = [text(i, {}) for i in range(max(len(b.group.live()) for b in every) or 1)]
+        for b in every:
+            if b not in covered:
+                forced, at = {}, b
+                while at.group is not None and at in at.group.live():
+                    forced[at.group], at = at, at.group.outer
+                if at is root:
+                    found.append(text(b.number, forced))
+        return found
+
+
+_CONDITION = re.compile(f"([{_IF}{_NEVER}{_ALWAYS}{_ELSE}{_ENDIF}])")
+
+
+class _Branch:
+    """Texts and conditions between two directives."""
+
+    def __init__(self, group: _Group | None, number: int):
+        self.group, self.number, self.parts = group, number, []
+
+
+class _Group:
+    """A condition with its branches."""
+
+    def __init__(self, outer: _Branch, kind: str):
+        self.outer, self.kind, self.branches = outer, kind, []
+
+    def open(self) -> _Branch:
+        self.branches.append(_Branch(self, len(self.branches)))
+        return self.branches[-1]
+
+    def live(self) -> list[_Branch]:
+        """The branches that some compiler reads."""
+        return self.branches[:1] if self.kind == _ALWAYS else self.branches[1:] if self.kind == _NEVER else self.branches
 
 
 class Cpp(C):
     words, signs = G.CPP_WORDS, G.CPP_SIGNS
+    plus = True
     _suffix = rf"(?:{_NAME})?"
     raw = r'(?:u8|[uUL])?R"(?P<d>[^()\\\s"]{0,16})\(.*?\)(?P=d)"'
     tokens = rf"{_C_LINE}|{_C_TEXT}{_suffix}|{_C_CHAR}{_suffix}|{_NAME}|\.?\d(?:[eEpP][+-]|'?\w|\.)*|/\*"

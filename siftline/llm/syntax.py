@@ -21,7 +21,7 @@ from .gll import Grammar
 #: Language to its lexer, its grammar and the start rules of its dialects.
 LANGUAGES = {
     "c": (L.C, G.C, ("c17",)),
-    "cpp": (L.Cpp, G.CPP, ("cpp20",)),
+    "cpp": (L.Cpp, G.CPP, ("cpp20", "cpp20module")),
     "java": (L.Java, G.JAVA, ("java21", "java21module")),
     "python": (L.Python, G.PYTHON, ("python313",)),
     "go": (L.Go, G.GO, ("go122",)),
@@ -39,10 +39,10 @@ _FIELD = frozenset(["fexpression"])
 
 
 def valid(text: str, language: str) -> bool:
-    """Whether any dialect of the language accepts the whole text."""
+    """Whether some dialect of the language accepts the whole text, each way it can be read."""
     lexer, grammar, starts = _parser(language)
     ways = lexer.read(text)
-    if ways is None or not any(grammar.accepts(starts, w) for w in ways):
+    if ways is None or not all(grammar.accepts(starts, w) for w in ways):
         return False
     if language == "python":
         for x in lexer.fields:

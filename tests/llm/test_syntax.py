@@ -1,4 +1,6 @@
 import ast
+import itertools
+import re
 import warnings
 
 import pytest
@@ -13,6 +15,8 @@ VALID = {
         "int g(a, b) int a; char *b; { return a + *b; }", "int h(void) { l: switch (1) { case 1: case 2: goto l; default: ; } do { } while (0); return sizeof(int) + sizeof x + _Alignof(double); }",
         "_Static_assert(1, \"x\");\n_Thread_local static int t;\nint k = _Generic(1, int: 2, default: 3);", "char *s = \"a\" \"b\\\nc\";\nchar c = '\\'';\n/* } */ // {\n", "int x = (int)(unsigned)3 * (y) + (z);",
         "#if A\nint f(void) {\n#else\nint f(int x) {\n#endif\n return 1; }\n", "",
+        "#ifdef __cplusplus\nextern \"C\" {\n#endif\nint f(void);\n#if 0\nnot code at all here\n#endif\n#ifdef __cplusplus\n}\n#endif\n",
+        "#if A\nint a;\n#elif B\n#ifdef C\nint b;\n#else\nint c;\n#endif\n#else\nint d;\n#endif\n", "int f(void) { a, b, c[1](2)->x.y++, (*d)(e), g * h - i << 2; return 0; }",
     ],
     "cpp": [
         "#include <v>\nnamespace a::b { template <typename T, int N = 3> class X : public Y<T>, private Z { public: X() : y(1), z{2} {} ~X() = default; virtual int f() const override; operator bool() const { return true; } private: int y; }; }",
@@ -20,6 +24,7 @@ VALID = {
         "template <typename T> concept C = requires(T t) { { t.x() } -> std::same_as<int>; typename T::type; };\ntemplate <C T> void g(T &&t) requires C<T> { if constexpr (sizeof(T) > 1) { co_return; } }",
         "auto s = R\"x( } \" )\" )x\"; long n = 1'000'000; enum class E : int { A, B = 2, };", "int f() try { throw std::runtime_error(\"x\"); } catch (const std::exception &e) { delete[] p; int *q = new int[3]; }",
         "struct P { int x; auto operator<=>(const P &) const = default; friend std::ostream &operator<<(std::ostream &o, const P &p) { return o << p.x; } };\n[[nodiscard]] constexpr int z() noexcept { return a < b && c > d; }",
+        "module;\n#include <x>\nexport module a.b:c;\nimport <vector>;\nexport import d.e;\nimport :f;\nexport int g() { return 1; }\n", "import <vector>;\nint module = 1, import = 2;\n",
         "using T = int (*)(int); template <typename... A> auto sum(A... a) { return (a + ... + 0); } static_assert(true);",
     ],
     "java": [
@@ -44,8 +49,8 @@ VALID = {
     ],
 }
 INVALID = {
-    "c": ["int f( { }", "int f() { return 1;", "}", "int x", "int f() { a b c; }", "<<<<<<< HEAD\nint x;\n", "int f(void) { if x { } }", "def f():\n  pass\n", "int f() { x = ; }", "char *s = \"abc;\n", "/* open", "#endif\n", "#if A\nint x;\n", "# Title\ntext here\n", "int f() { return (1; }", "int f() { else { } }", "int 9x;", "int x = 09;"],
-    "cpp": ["int f() { std::vector<int v; }", "class A { int x; }", "namespace a {", "int f() { auto g = [](int x { return x; }; }", "template <typename T void f();", "import os\nos.system('x')\n", "int f() {\n=======\n}", "int f() { return x }", "for (int i = 0; i < 3; i++) { }"],
+    "c": ["#if A\nint a;\n#elif B\n)) garbage ((\n#else\nint b;\n#endif\n", "#if A\nint a;\n#else\n#if B\nint x x x;\n#else\nint b;\n#endif\n#endif\n", "#if A\n#else\n#if B\n#else\n}\n#endif\n#endif\n", "extern \"C\" { int f(void); }", "int f( { }", "int f() { return 1;", "}", "int x", "int f() { a b c; }", "<<<<<<< HEAD\nint x;\n", "int f(void) { if x { } }", "def f():\n  pass\n", "int f() { x = ; }", "char *s = \"abc;\n", "/* open", "#endif\n", "#if A\nint x;\n", "# Title\ntext here\n", "int f() { return (1; }", "int f() { else { } }", "int 9x;", "int x = 09;"],
+    "cpp": ["import <vector;\nint x;\n", "int f() { std::vector<int v; }", "class A { int x; }", "namespace a {", "int f() { auto g = [](int x { return x; }; }", "template <typename T void f();", "import os\nos.system('x')\n", "int f() {\n=======\n}", "int f() { return x }", "for (int i = 0; i < 3; i++) { }"],
     "java": ["class A { void f() { int x = 1 } }", "class A { void f() { }", "class A { if (x) { } }", "public void f() { } }", "class A { String s = \"a; }", "class A { int x = 'ab'; }", "import a.b\nclass A {}", "class A { void f() { x.; } }", "class A {\n<<<<<<< ours\n}", "class A { void f() { 1 + 2; } }"],
     "python": ["def f(:\n  pass\n", "print 'x'\n", "if x\n  pass\n", "x = (1, 2\n", "def f():\npass\n", "  x = 1\ny = 2\n", "x = 'abc\n", "f(a=1, b)\n", "f(x for x in y, 1)\n", "def f(a=1, b): pass\n", "1 = x\n", "f() = 1\n", "x = 012\n", "x = 1abc\n", "try:\n  pass\n", "class A\n", "a b\n", "<<<<<<< HEAD\n", "x = f'{a b}'\n", "x = f'{}'\n", "x = f'{a'\n", "if x:\n    a\n  b\n", "if x:\n        a\n\tb\n", "del f()\n", "for f() in x: pass\n", "x = $a\n", "b'é'\n", "'a' b'b'\n", "x = '\\x1'\n", "int main() { return 0; }", "import a.b as c.d\n", "else:\n  pass\n", "return\n  x\n", "(*a)\n"],
     "go": ["func f() {}", "package p\nfunc f() {", "package p\nfunc f() { x := }", "package p\nimport fmt\n", "package p\nfunc f()\n{\n}\nx", "package p\nvar x int = \n", "package p\nfunc f() { if x {\n}\nelse {\n}\n}", "package p\n<<<<<<< HEAD\n", "package p\nfunc f() { a b }", "package p\nvar s = \"a\n", "package p\nx := 1\n", "package p\nvar c = '\\q'\n", "int main() { return 0; }"],
@@ -114,8 +119,38 @@ def test_every_reading_is_followed():
     assert all(nullable.accepts(both, [t]) for t in ("c", "ac", "abac", "bbabc")) and not nullable.accepts(both, ["aaac"])
     brackets = Grammar("s = '(' p ')' 'c' | '(' q ')' 'b' ; p = 'a' ; q = 'a' [ s ] ;", kinds)
     assert brackets.accepts(both, ["(a)c"]) and brackets.accepts(both, ["(a", "(a", ")c", ")b"]) and not brackets.accepts(both, ["(a(a)c)c"])
-    with pytest.raises(ValueError, match="left recursion"):
-        Grammar("s = [ 'b' ] s 'a' | 'c' ;", kinds)
+
+
+def _language(accepted, letters, longest):
+    return {w for n in range(longest + 1) for w in map("".join, itertools.product(letters, repeat=n)) if accepted(w)}
+
+
+@pytest.mark.parametrize(
+    ("grammar", "same"),
+    [
+        ("s = s 'a' | 'b' ;", "s = 'b' { 'a' } ;"),
+        ("s = [ 'b' ] s 'a' | 'c' ;", None),
+        ("s = t 'a' | 'c' ; t = s 'b' | 'a' ;", None),  # over two rules
+        ("s = s s | 'a' | 'b' 'c' ;", "s = ( 'a' | 'b' 'c' ) { 'a' | 'b' 'c' } ;"),
+        ("s = n s 'a' | n ; n = [ 'b' ] ;", None),  # hidden behind what may be empty
+        ("s = s '(' s ')' | 'a' | s 'b' ;", None),
+    ],
+)
+def test_left_recursion(grammar, same):
+    kinds = {c: c for c in "abc()"}
+    g, start = Grammar(grammar, kinds), frozenset(["s"])
+    letters = "abc" if "(" not in grammar else "ab()"
+    got = _language(lambda w: g.accepts(start, [w]) or g.accepts(start, list(w)), letters, 6)
+    if same is not None:
+        h = Grammar(same, kinds)
+        assert got == _language(lambda w: h.accepts(start, [w]), letters, 6)
+    rules = {"s = [ 'b' ] s 'a' | 'c' ;": r"b{0,9}ca{0,9}", "s = t 'a' | 'c' ; t = s 'b' | 'a' ;": r"(?:aa|c)(?:ba)*", "s = n s 'a' | n ; n = [ 'b' ] ;": r"b*a*", "s = s '(' s ')' | 'a' | s 'b' ;": None}
+    if rules.get(grammar):
+        keep = {"s = [ 'b' ] s 'a' | 'c' ;": lambda w: w.count("b") <= w.count("a"), "s = n s 'a' | n ; n = [ 'b' ] ;": lambda w: w.count("b") <= w.count("a") + 1}.get(grammar, lambda w: True)
+        assert got == _language(lambda w: re.fullmatch(rules[grammar], w) is not None and keep(w), letters, 6)
+    if "(" in grammar:
+        assert {"a", "ab", "a(a)", "a(a)b", "ab(a)", "a(ab)b"} <= got and not {"", "b", "(a)", "a()", "a(a", "a)"} & got
+    assert got
 
 
 def test_table(spark):
