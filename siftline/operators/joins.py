@@ -11,10 +11,14 @@ from ..session import cut
 BROADCAST_BYTES = 8 << 20
 
 
+def fits(df: DataFrame) -> bool:
+    """Whether the optimizer's estimate of the size is within the bound of a broadcast."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= BROADCAST_BYTES
+
+
 def small(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if the optimizer's estimate of its size is within the bound."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return F.broadcast(df) if int(str(size)) <= BROADCAST_BYTES else df
+    """``df`` marked for broadcast if it fits."""
+    return F.broadcast(df) if fits(df) else df
 
 
 #: Rows of one key beyond which a join deals them out in blocks of so many.
@@ -43,13 +47,13 @@ def _every(parts: str) -> Column:
     return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
 
-def with_unique(rows: DataFrame, unique: DataFrame, key: str, by: str, block: int = BLOCK) -> DataFrame:
+def with_unique(rows: DataFrame, unique: DataFrame, key: str, by: str, block: int = BLOCK, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``unique``, which has one row a key.  Keys of many rows are dealt out by ``by``,
     and their one row is repeated for each block."""
     groups = large(rows, key, block)
     if groups is None:
-        return rows.join(unique, key)
-    return _dealt(rows, key, by, groups, "_b").join(_parts(unique, key, groups, "_k").withColumn("_b", _every("_k")).drop("_k"), [key, "_b"]).drop("_b")
+        return rows.join(unique, key, how)
+    return _dealt(rows, key, by, groups, "_b").join(_parts(unique, key, groups, "_k").withColumn("_b", _every("_k")).drop("_k"), [key, "_b"], how).drop("_b")
 
 
 def in_blocks(left: DataFrame, right: DataFrame, key: str, by: tuple[str, str], condition: Column, block: int = BLOCK) -> DataFrame:
@@ -122,7 +126,8 @@ def tiered(rows: DataFrame, templates: DataFrame, id_: list[str], cwe: str, stra
     the first whose pattern the line matches, else the first.  ``templates`` has ``template_ord, cwe, strategy,
     pattern``.  Rows without any keep nulls."""
     t = templates.select(F.col("template_ord"), F.col("cwe").alias("_c"), F.col("strategy").alias("_s"), F.col("pattern").alias("_p"))
-    both = rows.join(small(t), (F.col(cwe) == F.col("_c")) | (F.col(strategy) == F.col("_s")))
+    same = F.coalesce(F.col(cwe) == F.col("_c"), F.lit(False))
+    both = rows.join(small(t), F.col(cwe) == F.col("_c")).unionByName(rows.join(small(t), F.col(strategy) == F.col("_s")).where(~same))
     tier = F.when((F.col(cwe) == F.col("_c")) & (F.col(strategy) == F.col("_s")), 1).when(F.col(strategy) == F.col("_s"), 2).otherwise(3)
     # in the last tier the line does not count
     match = F.when(tier == 3, 0).when(F.coalesce(F.expr(f"regexp_like({line}, _p)"), F.lit(False)), 0).otherwise(1) if line else F.lit(0)

@@ -8,13 +8,14 @@ from its lines.  Only the unified diff is made in Python, file by file.
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code as C
+from ..session import cut
 from ..sources import files as S
 from . import joins
 
@@ -69,10 +70,31 @@ def first_strategy(cwe: Column) -> Column:
     return C.looked_up({k: v[0] for k, v in STRATEGIES.items()}, cwe, DEFAULT_STRATEGY)
 
 
+def register(name: str, cwe: str, strategy: str, pattern: str, find: str, puts: list[str]) -> None:
+    """A further template: for lines that match ``pattern``, ``puts`` in place of what ``find`` finds.  Templates are
+    tried in the order in which they were made known."""
+    REWRITES[name] = (find, puts)
+    TEMPLATES.append((cwe, strategy, pattern, name))
+
+
 def templates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, c, s, p) for i, (c, s, p, _) in enumerate(TEMPLATES)], "template_ord int, cwe string, strategy string, pattern string")
 
 
+def template(cwe: Column, strategy: Column, line: Column | None = None, matches: Callable[[int], Column] | None = None) -> Column:
+    """``template_ord, tier`` as a struct, as ``joins.tiered`` finds them, without a join: of the templates of weakness
+    and strategy (tier 1), else of the strategy (2), the first that the line matches, else the first; else the first
+    of the weakness (3).  ``matches`` says of a template's number whether the line matches, where that is known."""
+    cells = []
+    for i, (c, s, pattern, _) in enumerate(TEMPLATES):
+        here = matches(i) if matches else line.rlike(pattern)
+        cell = lambda tier, miss, i=i: F.struct(F.lit(tier).alias("tier"), miss.alias("miss"), F.lit(i).alias("template_ord"))
+        miss = F.when(F.coalesce(here, F.lit(False)), 0).otherwise(1)
+        cells.append(F.when((cwe == c) & (strategy == s), cell(1, miss)).when(strategy == s, cell(2, miss)).when(cwe == c, cell(3, F.lit(0))))
+    best = F.array_min(F.array_compact(F.array(*cells)))
+    return F.struct(best["template_ord"].alias("template_ord"), best["tier"].alias("tier"))
+
+
 def rewritten(template_ord: Column, line: Column) -> Column:
     """The line as its template rewrites it, lines joined by line ends and indented alike; the line itself
     where the rewriting finds nothing."""
@@ -99,20 +121,24 @@ def apply(files: DataFrame, findings: DataFrame, key: str, text: str) -> tuple[D
     that come to one line the first, by template and id, rewrites it and the others succeed with it.  Files:
     ``key, original, patched`` of those with a rewritten line.
     """
-    lines = S.lines(files.select(key, text), text, key)
-    targets = findings.join(lines.select(key, F.col("line"), F.col("src").alias("target")), [key, "line"], "left")
-    chosen = joins.tiered(targets, templates(files.sparkSession), [key, "finding_id"], "cwe", "strategy", "target")
-    patterns = templates(files.sparkSession).select("template_ord", "pattern")
-    near = chosen.where("template_ord IS NOT NULL").join(F.broadcast(patterns), "template_ord")
-    matching = lines.join(near.select(key, "template_ord", "pattern").distinct(), key).where(F.expr("regexp_like(src, pattern)")).select(key, "template_ord", "line")
-    placed = joins.nearest_within(near.select(key, "finding_id", "template_ord", F.col("line").alias("at_line")), matching, [key, "template_ord"], ["finding_id"], "at_line", "line")
-    results = chosen.select(key, "finding_id", "template_ord").join(placed.select(key, "finding_id", "nearest_line"), [key, "finding_id"], "left")
+    # one pass over the texts: the lines that any template looks for, with its numbers
+    patterns = dict.fromkeys(p for _, _, p, _ in TEMPLATES)
+    found = F.flatten(F.array(*[F.when(F.col("src").rlike(p), F.array(*[F.lit(i) for i, t in enumerate(TEMPLATES) if t[2] == p])).otherwise(F.array().cast("array<int>")) for p in patterns]))
+    lines = cut(S.lines(files.select(key, text), text, key).withColumn("ords", found).where(F.size("ords") > 0))
+    targets = findings.join(lines.select(key, "line", "ords"), [key, "line"], "left")
+    chosen = cut(targets.select(key, "finding_id", "line", template(F.col("cwe"), F.col("strategy"), matches=lambda i: F.array_contains("ords", i))["template_ord"].alias("template_ord")))
+    near = chosen.where("template_ord IS NOT NULL").select(key, "finding_id", "template_ord", F.col("line").alias("at_line"))
+    matching = lines.select(key, F.explode("ords").alias("template_ord"), "line")
+    placed = joins.nearest_within(near, matching, [key, "template_ord"], ["finding_id"], "at_line", "line")
+    none = chosen.where("template_ord IS NULL").select(key, "finding_id", "template_ord", F.lit(None).cast("int").alias("nearest_line"))
+    results = cut(placed.select(key, "finding_id", "template_ord", "nearest_line").unionByName(none))
     results = results.select(key, "finding_id", "template_ord", F.col("nearest_line").alias("line_patched"), F.col("nearest_line").isNotNull().alias("success"), F.when(F.col("template_ord").isNull(), "No template found").when(F.col("nearest_line").isNull(), "No matching line").alias("error"))
     edits = results.where("success").groupBy(key, F.col("line_patched").alias("line")).agg(F.min_by("template_ord", F.struct("template_ord", "finding_id")).alias("template_ord"))
-    touched = lines.join(edits.select(key).distinct(), key, "left_semi").join(edits, [key, "line"], "left")
-    new = touched.withColumn("new", F.when(F.col("template_ord").isNull(), F.col("src")).otherwise(rewritten(F.col("template_ord"), F.col("src"))))
-    whole = new.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line", "new"))), lambda x: x["new"]), "\n").alias("patched"))
-    return results, files.select(key, F.col(text).alias("original")).join(whole, key).select(key, "original", F.concat("patched", F.lit("\n")).alias("patched"))
+    new = edits.join(lines.select(key, "line", "src"), [key, "line"]).select(key, "line", rewritten(F.col("template_ord"), F.col("src")).alias("new"))
+    per_file = new.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("line", "new"))).alias("_new"))
+    joined = files.select(key, F.col(text).alias("original")).join(per_file, key)
+    patched = F.array_join(F.transform(S.split_lines(F.col("original")), lambda x, i: F.coalesce(F.try_element_at("_new", i + 1), x)), "\n")
+    return results, joined.select(key, "original", F.concat(patched, F.lit("\n")).alias("patched"))
 
 
 def diffs(patched: DataFrame, key: str) -> DataFrame:

@@ -12,17 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions import bloom
 from ..session import fresh
+from . import joins
 
-#: Parts into which the references to one parent key are split before the exact join.
-SALTS = 8
 
+#: References to one key beyond which they are dealt out before the exact join.
+BLOCK = 1 << 16
 
-def numbers(text: Column) -> Column:
-    """The distinct numbers written in a text in ASCII digits, leading zeros dropped, as ARRAY<BIGINT>.
 
-    Null text: null. A run of digits beyond BIGINT can't be such a key and is left out.
-    """
-    return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit("([0-9]+)"), 1), lambda d: d.try_cast("bigint")), lambda d: d.isNotNull()))
+def numbers(text: Column) -> Column:
+    """The distinct numbers written in a text in ASCII digits, leading zeros dropped, as ARRAY<STRING>, so that a
+    number of any length is kept.  Null text: null."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("0*([0-9]+)"), 1))
 
 
 def periods(parents: DataFrame, key: str, start: str, end: str) -> DataFrame:
@@ -47,12 +47,12 @@ def orphans(
     parent_key: Column,
     valid_from: str,
     valid_to: str,
-    bits: int = bloom.DEFAULT_BITS,
-    salts: int = SALTS,
+    bits: int | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
     """References of ``children`` for which no row of ``parents`` is in force.
 
-    ``child_key`` and ``parent_key`` are ARRAY<BIGINT> columns, as a value can name several keys.  A parent
+    ``child_key`` and ``parent_key`` are ARRAY columns, as a value can name several keys.  A parent
     is in force from ``valid_from`` (included) until ``valid_to`` (excluded; null: still).  Returns distinct
     ``ref_id, ref_key, ref_at, reason``, where the reason is ``missing`` (no parent ever has the key),
     ``later`` (the first such parent comes after), ``ended`` (all had ended) or ``gap`` (between two).
@@ -61,20 +61,26 @@ def orphans(
     (``gap``, or ``missing``).  Redelivered rows count once.  With no parents every reference is missing.
     Other columns of either table are never read, so their names cannot clash.
 
-    Skew: references to one key are spread over ``salts`` partitions and the merged periods, one or a few
-    rows a key, are repeated for each.
+    The filter has 16 bits for each parent row, up to 16 MB, unless ``bits`` says otherwise; one that is too full
+    only leaves more to the join.  Parents' periods are broadcast where the optimizer knows them to be small; else
+    the references to a key of more than ``block`` are dealt out in blocks, and the key's one row of periods is
+    repeated for each.
     """
     refs = children.select(F.col(child_id).alias("ref_id"), F.explode(child_key).alias("ref_key"), F.col(at).cast("timestamp_ntz").alias("ref_at"))
     keyed = parents.select(F.explode(parent_key).alias("key"), F.col(valid_from).cast("timestamp_ntz").alias("a"), F.col(valid_to).cast("timestamp_ntz").alias("b"))
+    if bits is None:
+        bits = bloom.bits_for(keyed.count())
     filter_ = bloom.dense(bloom.build(keyed, F.xxhash64("key"), bits), bits).scalar()
     refs = refs.withColumn("_maybe", bloom.might_contain(filter_, F.xxhash64("ref_key"), bits))
     definite = refs.where(~F.col("_maybe")).select("ref_id", "ref_key", "ref_at", F.lit("missing").alias("reason"))
     valid = periods(keyed, "key", "a", "b")
     spans = valid.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_from", "_until"))).alias("spans"))
-    spread_ = spans.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    maybe = refs.where("_maybe").withColumn("_salt", F.pmod(F.xxhash64("ref_id"), F.lit(salts)).cast("int"))
     held = F.exists("spans", lambda s: (F.col("ref_at") >= s["_from"]) & (s["_until"].isNull() | (F.col("ref_at") < s["_until"])))
-    joined = maybe.join(spread_, (F.col("ref_key") == F.col("key")) & (maybe["_salt"] == spread_["_salt"]), "left")
+    maybe = refs.where("_maybe").drop("_maybe")
+    if joins.fits(keyed):
+        joined = maybe.join(F.broadcast(spans), F.col("ref_key") == F.col("key"), "left")
+    else:
+        joined = joins.with_unique(maybe, spans.withColumnRenamed("key", "ref_key"), "ref_key", "ref_id", block, "left")
     reason = (
         F.when(F.col("spans").isNull(), "missing")
         .when(F.col("ref_at") < F.get("spans", F.lit(0))["_from"], "later")

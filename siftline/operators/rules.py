@@ -14,10 +14,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 from ..sources import files as S
 from ..sources import parse as P
 
+
 def has(pattern: str) -> Column:
     return F.col("src").rlike(pattern)
 
@@ -43,6 +44,15 @@ class Rule:
     function: dict[str, Column] = field(default_factory=dict)
     #: The rule looks at every line of a file that has a trigger node, not at the node's own line.
     whole_file: bool = False
+    #: What a line must have, by itself, for the rule to hold. It is tried in the scan; without it, a rule that
+    #: looks at its line alone is tried there, and one that looks at more is tried on every line.
+    screen: Column | None = None
+
+    def screen_column(self) -> Column:
+        if self.screen is not None:
+            return self.screen
+        more = ("callee", "extern_input", "before3", *self.function)
+        return F.lit(True) if any(m in str(self.when) for m in more) else self.when
 
     def severity_column(self) -> Column:
         return self.severity if isinstance(self.severity, Column) else F.lit(self.severity)
@@ -70,29 +80,29 @@ def registry() -> list[Rule]:
     callee, extern = F.col("callee"), F.col("extern_input")
     # Names, weaknesses, severities, confidences and patterns of the rules.
     built_in = [
-        Rule("strcpy_overflow", "c", _CALL, "CWE-120", "Buffer overflow by an unbounded copy", "HIGH", 0.90, callee.isin("strcpy", "strcat", "wcscpy", "wcscat")),
-        Rule("gets_unbounded_read", "c", _CALL, "CWE-121", "Unbounded read", "CRITICAL", 0.98, callee == "gets"),
-        Rule("sprintf_overflow", "c", _CALL, "CWE-120", "Buffer overflow by formatting", "HIGH", 0.85, callee == "sprintf"),
-        Rule("scanf_unbounded_string", "c", _CALL, "CWE-120", "Unbounded string read", "HIGH", 0.80, callee.isin("scanf", "fscanf", "sscanf") & has(r"%\d*s") & ~has(r"%\d+s")),
+        Rule("strcpy_overflow", "c", _CALL, "CWE-120", "Buffer overflow by an unbounded copy", "HIGH", 0.90, callee.isin("strcpy", "strcat", "wcscpy", "wcscat"), screen=has("strcpy|strcat|wcscpy|wcscat")),
+        Rule("gets_unbounded_read", "c", _CALL, "CWE-121", "Unbounded read", "CRITICAL", 0.98, callee == "gets", screen=holds("gets")),
+        Rule("sprintf_overflow", "c", _CALL, "CWE-120", "Buffer overflow by formatting", "HIGH", 0.85, callee == "sprintf", screen=holds("sprintf")),
+        Rule("scanf_unbounded_string", "c", _CALL, "CWE-120", "Unbounded string read", "HIGH", 0.80, callee.isin("scanf", "fscanf", "sscanf") & has(r"%\d*s") & ~has(r"%\d+s"), screen=holds("scanf") & holds("%s")),
         Rule(
             "format_string_injection", "c", _CALL, "CWE-134", "Format string from a variable", "HIGH", 0.80,
-            callee.isin(*_FORMAT, "syslog") & ~F.coalesce(F.expr(r"""regexp_like(src, concat(callee, '\\s*\\(\\s*"'))"""), F.lit(False)),
+            callee.isin(*_FORMAT, "syslog") & ~F.coalesce(F.expr(r"""regexp_like(src, concat(callee, '\\s*\\(\\s*"'))"""), F.lit(False)), screen=has("printf|syslog"),
         ),
-        Rule("command_injection", "c", _CALL, "CWE-78", "Command from a variable", _worse(extern), 0.88, callee.isin("system", "popen", "execl", "execlp", "execvp")),
-        Rule("memcpy_no_bounds", "c", _CALL, "CWE-125", "Copy without a size check", "MEDIUM", 0.65, callee.isin("memcpy", "memmove", "bcopy") & ~holds("sizeof")),
+        Rule("command_injection", "c", _CALL, "CWE-78", "Command from a variable", _worse(extern), 0.88, callee.isin("system", "popen", "execl", "execlp", "execvp"), screen=has("system|popen|execl|execvp")),
+        Rule("memcpy_no_bounds", "c", _CALL, "CWE-125", "Copy without a size check", "MEDIUM", 0.65, callee.isin("memcpy", "memmove", "bcopy") & ~holds("sizeof"), screen=has("memcpy|memmove|bcopy") & ~holds("sizeof")),
         Rule(
             "memory_leak_raw_new", "cpp", ("new_expression",), "CWE-401", "Raw new without delete", "MEDIUM", 0.70,
-            ~has(r"(?:unique_ptr|shared_ptr|make_unique|make_shared)") & ~_mark("f_delete"), {"f_delete": holds("delete")},
+            ~has(r"(?:unique_ptr|shared_ptr|make_unique|make_shared)") & ~_mark("f_delete"), {"f_delete": holds("delete")}, screen=holds("new"),
         ),
         Rule(
             "nullptr_dereference_uncaught", "cpp", ("pointer_expression",), "CWE-476", "Dereference without a null check", "MEDIUM", 0.65,
-            ~_mark("before3") & ~has(r"(?:unique_ptr|shared_ptr|weak_ptr).*\*") & has(r"(?:\*\s*\w+|\w+\s*->)") & ~_mark("f_try"), {"f_try": holds("try") | holds("catch")},
+            ~_mark("before3") & ~has(r"(?:unique_ptr|shared_ptr|weak_ptr).*\*") & has(r"(?:\*\s*\w+|\w+\s*->)") & ~_mark("f_try"), {"f_try": holds("try") | holds("catch")}, screen=holds("*") | holds("->"),
         ),
         Rule("char_array_buffer_issue", "cpp", ("declaration",), "CWE-190", "Fixed character array", "LOW", 0.60, has(r"\bchar\s+\w+\s*\[\s*\d+\s*\]") & ~(holds("const") & holds("=") & holds('"'))),
         Rule(
             "cpp_format_string_injection", "cpp", _CALL, "CWE-134", "Format string from a variable", "HIGH", 0.80,
             (F.regexp_extract("src", r"^\s*(?:\w+\s*=\s*)?(\w+)\s*\(", 1).isin(*_FORMAT) | callee.isin(*_FORMAT))
-            & ~F.coalesce(F.expr(r"""regexp_like(src, concat(if(regexp_extract(src, '^\\s*(?:\\w+\\s*=\\s*)?(\\w+)\\s*\\(', 1) IN ('printf', 'fprintf', 'sprintf', 'snprintf', 'vprintf'), regexp_extract(src, '^\\s*(?:\\w+\\s*=\\s*)?(\\w+)\\s*\\(', 1), callee), '\\s*\\(\\s*(?:stdout\\s*,\\s*)?["\']'))"""), F.lit(False)),
+            & ~F.coalesce(F.expr(r"""regexp_like(src, concat(if(regexp_extract(src, '^\\s*(?:\\w+\\s*=\\s*)?(\\w+)\\s*\\(', 1) IN ('printf', 'fprintf', 'sprintf', 'snprintf', 'vprintf'), regexp_extract(src, '^\\s*(?:\\w+\\s*=\\s*)?(\\w+)\\s*\\(', 1), callee), '\\s*\\(\\s*(?:stdout\\s*,\\s*)?["\']'))"""), F.lit(False)), screen=holds("printf"),
         ),
         Rule(
             "cpp_system_command_injection", "cpp", _CALL, "CWE-78", "Command from a variable", "CRITICAL", 0.85,
@@ -106,13 +116,13 @@ def registry() -> list[Rule]:
         ),
         Rule(
             "xxe_document_builder_factory", "java", ("method_invocation",), "CWE-611", "XML parser with external entities", "HIGH", 0.82, holds("DocumentBuilderFactory") & ~_mark("f_safe_xml"),
-            {"f_safe_xml": has("setFeature|external-general-entities|external-parameter-entities|disallow-doctype-decl|setExpandEntityReferences")},
+            {"f_safe_xml": has("setFeature|external-general-entities|external-parameter-entities|disallow-doctype-decl|setExpandEntityReferences")}, screen=holds("DocumentBuilderFactory"),
         ),
-        Rule("unsafe_deserialization_object_input_stream", "java", ("method_invocation",), "CWE-502", "Objects read from a stream", "CRITICAL", 0.88, has(r"\.readObject\s*\(\s*\)") & (_mark("f_stream") | holds("ObjectInputStream")), {"f_stream": holds("ObjectInputStream")}),
+        Rule("unsafe_deserialization_object_input_stream", "java", ("method_invocation",), "CWE-502", "Objects read from a stream", "CRITICAL", 0.88, has(r"\.readObject\s*\(\s*\)") & (_mark("f_stream") | holds("ObjectInputStream")), {"f_stream": holds("ObjectInputStream")}, screen=holds("readObject")),
         Rule(
             "path_traversal_new_file", "java", ("object_creation_expression",), "CWE-22", "Path from a variable", "HIGH", 0.78,
             has(r"\bnew\s+File\s*\(") & ~has(r'new\s+File\s*\(\s*"[^"]*"\s*\)') & has(r"new\s+File\s*\([^)]*(?:\+|\w)") & ~_mark("f_checked_path"),
-            {"f_checked_path": holds("getCanonicalPath") | holds("normalize") | holds("startsWith")},
+            {"f_checked_path": holds("getCanonicalPath") | holds("normalize") | holds("startsWith")}, screen=has(r"\bnew\s+File\s*\("),
         ),
         Rule("runtime_exec_command_injection", "java", ("method_invocation",), "CWE-78", "Command from a variable", _worse(holds("+")), 0.87, has(r"Runtime\s*\.\s*getRuntime\s*\(\s*\)\s*\.\s*exec\s*\(")),
         Rule(
@@ -129,7 +139,7 @@ def registry() -> list[Rule]:
             (has(r"(?i)(?:key|secretkey|aeskey|deskey|privatekey|ivspec|initvector|iv|hmackey)\s*=\s*") & has(r"""(?:["'][^"']{4,}["']|new\s+(?:byte|char)\s*\[\s*\]\s*\{[^}]+\})"""))
             | (has(r"(?:SecretKeySpec|IvParameterSpec|SecretKeyFactory)\s*\(") & (has(r"""(?:SecretKeySpec|IvParameterSpec)\s*\([^)]*["']""") | has(r"(?:SecretKeySpec|IvParameterSpec)\s*\([^)]*getBytes"))),
         ),
-        Rule("eval_exec_injection", "python", ("call",), "CWE-95", "Code from a variable", "CRITICAL", 0.88, callee.isin("eval", "exec", "compile") & ~F.coalesce(F.expr(r"""regexp_like(src, concat(callee, '\\s*\\(\\s*["\']'))"""), F.lit(False))),
+        Rule("eval_exec_injection", "python", ("call",), "CWE-95", "Code from a variable", "CRITICAL", 0.88, callee.isin("eval", "exec", "compile") & ~F.coalesce(F.expr(r"""regexp_like(src, concat(callee, '\\s*\\(\\s*["\']'))"""), F.lit(False)), screen=has("eval|exec|compile")),
         Rule("unsafe_deserialization", "python", ("call",), "CWE-502", "Objects read from a pickle", "CRITICAL", 0.92, has(r"pickle\.(loads?|Unpickler)")),
         Rule("subprocess_shell_injection", "python", ("call",), "CWE-78", "Command run by a shell", "HIGH", 0.90, holds("subprocess") & (holds("shell=True") | holds("shell = True"))),
         Rule("os_system_injection", "python", ("call",), "CWE-78", "Command run by a shell", "HIGH", 0.85, has(r"os\.(system|popen)\s*\(")),
@@ -171,16 +181,28 @@ def _uses_callee(r: Rule) -> bool:
     return "callee" in str(r.when) or "before3" in str(r.when)
 
 
+def by_file(functions: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, _fs``: the functions of each file as one array, in order; ``functions`` has ``ord, name, line, end_line``
+    and more."""
+    more = [c for c in functions.columns if c not in keys and c not in ("lang", "ord")]
+    return functions.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ord", *more))).alias("_fs"))
+
+
+def covering(line: str) -> Column:
+    """Those of ``_fs`` whose lines hold the line."""
+    return F.filter("_fs", lambda f: (f["line"] <= F.col(line)) & (F.col(line) <= f["end_line"]))
+
+
 def enclosing(points: DataFrame, functions: DataFrame, keys: list[str], line: str = "line") -> DataFrame:
     """Each point with its enclosing function's columns: the first in order whose lines cover it, else nulls.
-    ``functions`` has ``ord, name, line, end_line`` and more; those of one file make one array, so that the range
-    join is an equality join on the file and no pair of point and function is ever a row."""
+    The functions of one file make one array, so that the range join is an equality join on the file and no pair
+    of point and function is ever a row."""
+    near = points.join(by_file(functions, keys), keys, "left").withColumn("_f", F.get(covering(line), F.lit(0)))
     more = [c for c in functions.columns if c not in keys and c != "lang"]
-    ordered = F.struct("ord", *[c for c in more if c != "ord"])
-    of_file = functions.groupBy(*keys).agg(F.sort_array(F.collect_list(ordered)).alias("_fs"))
-    covers = lambda f: (f["line"] <= F.col(line)) & (F.col(line) <= f["end_line"])
-    near = points.join(of_file, keys, "left").withColumn("_f", F.get(F.filter("_fs", covers), F.lit(0)))
-    return near.select(*points.columns, *[F.col(f"_f.{c}").alias("f_ord" if c == "ord" else {"name": "function_name", "line": "f_line", "end_line": "f_end"}.get(c, c)) for c in more])
+    return near.select(*points.columns, *[F.col(f"_f.{c}").alias(_RENAMED.get(c, c)) for c in more])
+
+
+_RENAMED = {"ord": "f_ord", "name": "function_name", "line": "f_line", "end_line": "f_end"}
 
 
 def before3(lines: DataFrame, keys: list[str], check: Column) -> DataFrame:
@@ -200,44 +222,84 @@ def snippet(lines: DataFrame, keys: list[str]) -> DataFrame:
 FINDING = ["lang", "rule_name", "cwe", "title", "severity", "confidence", "function_name", "line", "extern_input", "reachable", "call_depth", "in_loop", "node_ord"]
 
 
+_CHECKED = r"nullptr|NULL|if\s*\("
+_DELETED = r"\bdelete(?:\[\])?\s+(\w+)\s*;"
+_NULLED, _USED = r"\b(\w+)\s*=\s*nullptr", r"\b(\w+)\s*(?:->|\[|\*)"
+_ABOUT = ["extern_input", "reachable", "call_depth", "loop_depth"]
+
+
+def marked_lines(files: DataFrame, functions: DataFrame, key: str, text: str, rules: list[Rule]) -> DataFrame:
+    """The lines that any rule or mark can be about, few of all, in one pass over the texts.
+
+    ``key, lang, line, src, before3`` (one of the three lines before has a check; C++ only), ``hit`` (a rule of the
+    language may hold), a column for each mark, ``ptr`` (deleted here), ``fs`` (``ord`` of all functions around it)
+    and ``f``, the first of these as a struct."""
+    by_language = lambda make: reduce(lambda c, g: c.when(F.col("lang") == g, make(g)), P.ENTRIES, F.when(F.lit(False), F.lit(False))).otherwise(F.lit(False))
+    either = lambda columns: reduce(operator.or_, columns, F.lit(False))
+    each = spread(files.select(key, F.lower(F.trim("lang")).alias("lang"), text).where(F.col("lang").isin(*P.ENTRIES) & F.col(text).isNotNull()))
+    each = each.select(key, "lang", S.split_lines(F.col(text)).alias("_ls"))
+    is_cpp = F.col("lang") == "cpp"
+    each = each.withColumn("_checks", F.when(is_cpp, F.transform("_ls", lambda x: x.rlike(_CHECKED)))).withColumn("_deletes", F.when(is_cpp, F.exists("_ls", lambda x: x.rlike(_DELETED))).otherwise(F.lit(False)))
+    each = each.select(key, "lang", "_checks", "_deletes", F.posexplode("_ls").alias("_pos", "_s"))
+    before = either([F.coalesce(F.get("_checks", F.col("_pos") - i), F.lit(False)) for i in (1, 2, 3)])
+    lines = each.select(key, "lang", (F.col("_pos") + 1).alias("line"), F.trim("_s").alias("src"), before.alias("before3"), "_deletes")
+    marks = {m: (F.col("lang") == r.language) & c for r in rules for m, c in r.function.items()}
+    lines = lines.withColumn("hit", by_language(lambda g: either([r.screen_column() for r in rules if r.language == g]))).withColumns(marks)
+    about = (F.col("_deletes") & (has(_DELETED) | has(_NULLED) | has(_USED))) | ((F.col("lang") == "go") & holds("os.Args"))
+    kept = lines.where(F.col("hit") | either([F.col(m) for m in marks]) | about).withColumn("ptr", F.when(F.col("_deletes"), F.nullif(F.regexp_extract("src", _DELETED, 1), F.lit(""))))
+    near = kept.join(by_file(functions, [key]), key, "left").withColumn("_in", covering("line"))
+    return near.select(*[c for c in kept.columns if c != "_deletes"], F.transform("_in", lambda f: f["ord"]).alias("fs"), F.get("_in", F.lit(0)).alias("f"))
+
+
 def scan(files: DataFrame, facts: DataFrame, key: str, text: str) -> DataFrame:
     """All findings of all rules: ``key`` and ``FINDING``, each rule, function and line once a file.
 
     ``facts`` are those of ``parse.facts`` with ``key`` kept.  MEDIUM becomes HIGH in functions that are
-    reachable and read input from outside.
+    reachable and read input from outside.  The texts are read once; what follows works on the lines kept there.
     """
-    lines = S.lines(files.select(key, F.lower(F.trim("lang")).alias("lang"), text).where(F.col("lang").isin(*P.ENTRIES)), text, key, "lang")
-    lines = lines.withColumn("src", F.trim("src"))
-    functions = P.of_kind(facts, "function", key).select(key, "ord", "name", "line", "end_line", "extern_input", "reachable", "call_depth", "loop_depth")
-    nodes = P.of_kind(facts, "node", key)
-    marks = {m: c for r in registry() for m, c in r.function.items()}
+    rules = registry()
+    functions = P.of_kind(facts, "function", key).select(key, "ord", "name", "line", "end_line", *_ABOUT)
+    lines = cut(marked_lines(files, functions, key, text, rules))
+    marks = [m for r in rules for m in r.function]
     # marks of a function are taken over its lines; lines outside any function have none
-    inside = functions.select(key, "ord", "line", "end_line")
-    any_mark = reduce(operator.or_, marks.values())
-    covered = lines.where(any_mark).select(key, F.col("line").alias("at"), "src").join(inside, key).where(F.col("at").between(F.col("line"), F.col("end_line")))
-    of_function = covered.groupBy(key, "ord").agg(*[F.max(c).alias(m) for m, c in marks.items()])
-    where = enclosing(lines, functions.join(of_function, [key, "ord"], "left"), [key])
-    where = before3(where, [key], F.col("src").rlike(r"nullptr|NULL|if\s*\("))
-    at_node = nodes.select(key, "line", F.col("type").alias("node"), F.col("name").alias("callee"), F.col("ord").alias("node_ord")).distinct()
+    of_function = lines.where(" OR ".join(marks)).select(key, F.explode("fs").alias("f_ord"), *marks).groupBy(key, "f_ord").agg(*[F.max(m).alias(m) for m in marks])
+    where = lines.where("hit").select(key, "lang", "line", "src", "before3", F.col("f.ord").alias("f_ord"), F.col("f.name").alias("function_name"), *[F.col(f"f.{c}").alias(c) for c in _ABOUT])
+    where = where.join(of_function, [key, "f_ord"], "left").withColumn("extern_input", F.coalesce("extern_input", F.lit(False)))
+    types = sorted({n for r in rules for n in r.nodes} | {"selector_expression"})
+    nodes = P.of_kind(facts, "node", key).where(F.col("type").isin(*types))
+    at_node = nodes.select(key, "line", F.col("type").alias("node"), F.col("name").alias("callee"), F.col("ord").alias("node_ord"))
     triggered = where.join(at_node, [key, "line"])
     triggers = nodes.groupBy(key).agg(F.collect_set("type").alias("types"))
     in_file = where.join(triggers, key).withColumn("callee", F.lit(None).cast("string")).withColumn("node_ord", F.col("line"))
 
     def hits(rows: DataFrame, rules: list[Rule], gate) -> DataFrame:  # noqa: ANN001
         cells = [F.when((F.col("lang") == r.language) & gate(r) & r.when, F.struct(F.lit(r.name).alias("rule_name"), F.lit(r.cwe).alias("cwe"), F.lit(r.title).alias("title"), r.severity_column().alias("severity"), r.confidence_column().alias("confidence"))) for r in rules]
-        found = rows.select(key, "lang", "line", "function_name", "extern_input", "reachable", "call_depth", "loop_depth", "node_ord", F.explode(F.array_compact(F.array(*cells))).alias("r"))
-        return found.select(key, "lang", "line", "function_name", "extern_input", "reachable", "call_depth", "loop_depth", "node_ord", "r.*")
+        found = rows.select(key, "lang", "line", "function_name", *_ABOUT, "node_ord", F.explode(F.array_compact(F.array(*cells))).alias("r"))
+        return found.select(key, "lang", "line", "function_name", *_ABOUT, "node_ord", "r.*")
 
-    safe = lambda d: d.withColumn("extern_input", F.coalesce("extern_input", F.lit(False)))
-    by_node = hits(safe(triggered), [r for r in registry() if not r.whole_file], lambda r: F.col("node").isin(*r.nodes))
-    by_file = hits(safe(in_file), [r for r in registry() if r.whole_file], lambda r: F.arrays_overlap(F.col("types"), F.array(*[F.lit(n) for n in r.nodes])))
-    found = by_node.unionByName(by_file).unionByName(_special(lines, facts, functions, triggers, key))
+    by_node = hits(triggered, [r for r in rules if not r.whole_file], lambda r: F.col("node").isin(*r.nodes))
+    by_whole = hits(in_file, [r for r in rules if r.whole_file], lambda r: F.arrays_overlap(F.col("types"), F.array(*[F.lit(n) for n in r.nodes])))
+    found = by_node.unionByName(by_whole).unionByName(_special(lines, facts, functions, triggers, key))
     found = found.withColumn("function_name", F.coalesce("function_name", F.lit("unknown")))
     boosted = (F.col("severity") == "MEDIUM") & F.coalesce("reachable", F.lit(False)) & F.coalesce("extern_input", F.lit(False))
     found = found.withColumn("severity", F.when(boosted, "HIGH").otherwise(F.col("severity"))).withColumn("in_loop", F.coalesce(F.col("loop_depth") > 0, F.lit(False)))
     return dedup_first(found, [key, "rule_name", "function_name", "line"], ["node_ord"]).select(key, *FINDING)
 
 
+def used_after(deletes: DataFrame, lines: DataFrame, keys: list[str], take: list[str]) -> DataFrame:
+    """``keys, take, at_line, ptr, use_line``: each delete of a pointer (``keys, take, line, ptr``) with the first
+    later line of the file that uses it, unless it is set to null before or there.  ``lines`` has ``keys, line, src``.
+
+    Uses and nulls are events of their pointer, so that a delete meets the events of its own pointer alone."""
+    event = lambda k, p: F.struct(p.alias("ptr"), F.lit(k).alias("kind"))
+    events = F.concat(F.transform(F.regexp_extract_all("src", F.lit(_NULLED), 1), lambda p: event(0, p)), F.array(event(1, F.regexp_extract("src", _USED, 1))))
+    later = lines.select(*keys, "line", F.explode(events).alias("e")).select(*keys, "line", "e.ptr", "e.kind").where("ptr <> ''")
+    right = later.groupBy(*keys, "ptr", "line").agg(F.min("kind").alias("kind")).withColumn("_at", F.struct("line", "kind"))
+    left = deletes.select(*keys, *take, F.col("line").alias("at_line"), "ptr")
+    found = first_after(left, right.select(*keys, "ptr", "line", "kind", "_at"), [*keys, "ptr"], take, "at_line", "line", "_at", lambda t: F.floor(t / 4096))
+    return found.where("kind = 1").select(*keys, *take, "at_line", "ptr", F.col("line").alias("use_line"))
+
+
 def _special(lines: DataFrame, facts: DataFrame, functions: DataFrame, triggers: DataFrame, key: str) -> DataFrame:
     """Rules 7 and 8 of C, 2 of C++ and 5 of Go, which look for pairs of places."""
     calls, allocs = P.of_kind(facts, "call", key), P.of_kind(facts, "allocation", key)
@@ -248,22 +310,15 @@ def _special(lines: DataFrame, facts: DataFrame, functions: DataFrame, triggers:
     )
     frees = calls.where("lang = 'c' AND name = 'free' AND size(args) > 0").select(key, "fn", F.expr("trim(BOTH '&* ' FROM args[0])").alias("arg"), "line")
     twice = repeated(frees, [key, "fn", "arg"], "line").where("n >= 2").select(key, "fn", F.col("last").alias("line"))
-    deletes = lines.where("lang = 'cpp'").withColumn("ptr", F.regexp_extract("src", r"\bdelete(?:\[\])?\s+(\w+)\s*;", 1)).where("ptr <> ''")
-    deletes = enclosing(deletes.select(key, "line", "ptr"), functions, [key]).where("function_name IS NOT NULL").withColumn("_d", F.monotonically_increasing_id())
-    # the first use on a line counts; a pointer set to null stops the search, tested first on each line
-    later = deletes.join(lines.select(key, F.col("line").alias("l"), "src"), key).where((F.col("l") > F.col("line")) & (F.col("l") <= F.col("f_end")))
-    is_null = F.expr(r"regexp_like(src, concat('\\b', ptr, '\\s*=\\s*nullptr'))")
-    is_use = F.regexp_extract("src", r"\b(\w+)\s*(?:->|\[|\*)", 1) == F.col("ptr")
-    best = later.groupBy(key, "_d").agg(F.first("function_name").alias("fn"), F.min(F.when(is_null, F.col("l"))).alias("stop"), F.min(F.when(is_use & ~is_null, F.col("l"))).alias("use"))
-    used = best.where(F.col("use").isNotNull() & (F.col("stop").isNull() | (F.col("use") < F.col("stop")))).select(key, "fn", F.col("use").alias("line"))
-    args = lines.where("lang = 'go'").groupBy(key).agg(F.max(F.when(F.col("src").rlike(r"os\.Args\["), F.col("line"))).alias("line"), F.max(F.col("src").rlike(r"len\s*\(\s*os\.Args\s*\)")).alias("checked"))
-    args = args.where("line IS NOT NULL AND NOT checked").join(triggers.where(F.array_contains("types", "selector_expression")), key, "left_semi").select(key, "line")
-    args = enclosing(args, functions, [key]).select(key, F.col("function_name").alias("fn"), "line")
-    info = functions.select(key, F.col("name").alias("function_name"), "extern_input", "reachable", "call_depth", "loop_depth")
+    deletes = lines.where("lang = 'cpp' AND ptr IS NOT NULL AND f IS NOT NULL").select(key, "line", "ptr", F.col("f.name").alias("fn"), F.col("f.end_line").alias("end"))
+    used = used_after(deletes, lines.where("lang = 'cpp'").select(key, "line", "src"), [key], ["fn", "end"]).where("use_line <= end").select(key, "fn", F.col("use_line").alias("line"))
+    args = lines.where("lang = 'go'").groupBy(key).agg(F.max_by(F.struct("line", F.col("f.name").alias("fn")), F.when(has(r"os\.Args\["), F.col("line"))).alias("x"), F.max(has(r"len\s*\(\s*os\.Args\s*\)")).alias("checked"))
+    args = args.where("x IS NOT NULL AND NOT checked").join(triggers.where(F.array_contains("types", "selector_expression")), key, "left_semi").select(key, "x.fn", "x.line")
+    info = functions.select(key, F.col("name").alias("function_name"), *_ABOUT)
     out = None
     for (name, language, cwe, title, severity, confidence), rows in zip(OTHERS, (after.select(key, "fn", "line"), twice, used, args), strict=True):
         rows = rows.select(key, F.col("fn").alias("function_name"), F.col("line").cast("int").alias("line")).join(info, [key, "function_name"], "left")
-        rows = rows.select(key, F.lit(language).alias("lang"), "line", "function_name", "extern_input", "reachable", "call_depth", "loop_depth", F.col("line").alias("node_ord"), F.lit(name).alias("rule_name"), F.lit(cwe).alias("cwe"), F.lit(title).alias("title"), F.lit(severity).alias("severity"), F.lit(confidence).cast("double").alias("confidence"))
+        rows = rows.select(key, F.lit(language).alias("lang"), "line", "function_name", *_ABOUT, F.col("line").alias("node_ord"), F.lit(name).alias("rule_name"), F.lit(cwe).alias("cwe"), F.lit(title).alias("title"), F.lit(severity).alias("severity"), F.lit(confidence).cast("double").alias("confidence"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
@@ -287,6 +342,19 @@ def first_after(left: DataFrame, right: DataFrame, keys: list[str], id_: list[st
     return found.select(*keys, *id_, F.col("_t").alias(at), *[F.col(f"_b.{c}").alias(c) for c in take])
 
 
+def following(rows: DataFrame, keys: list[str], order: list[str], take: str, name: str, bucket: Column) -> DataFrame:
+    """``rows`` with ``name``: ``take`` of the next row of equal keys in order, null for the last.
+
+    ``bucket``, which must not fall as the order rises, cuts a key's rows into ranges, each of them a group of its
+    own; the last row of a range gets the first of the next range."""
+    ranged = rows.withColumn("_k", F.coalesce(bucket, F.lit(-(1 << 62))))
+    inside = F.lead(F.struct(F.col(take).alias("v"))).over(Window.partitionBy(*keys, "_k").orderBy(*order))
+    first = ranged.groupBy(*keys, "_k").agg(F.min_by(F.struct(F.col(take).alias("v")), F.struct(*order)).alias("_f"))
+    after = first.select(*keys, "_k", F.lead("_f").over(Window.partitionBy(*keys).orderBy("_k")).alias("_n"))
+    met = ranged.withColumn("_in", inside).join(after, [*keys, "_k"], "left")
+    return met.select(*rows.columns, F.coalesce("_in", "_n")["v"].alias(name))
+
+
 def repeated(rows: DataFrame, keys: list[str], line: str) -> DataFrame:
     """``keys, n, first, last`` of each group."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(line).alias("first"), F.max(line).alias("last"))

@@ -62,13 +62,9 @@ def nearest_band_match(spark: SparkSession, folder: str) -> DataFrame:
 
 def use_after_delete_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Each delete with the first later use of its pointer in the file before the pointer is set to null."""
-    lines = _lines(spark, folder).where("lang = 'cpp'")
-    gone = lines.select("sample_id", F.col("line").alias("at_line"), F.regexp_extract("src", r"\bdelete(?:\[\])?\s+(\w+)\s*;", 1).alias("ptr")).where("ptr <> ''")
-    later = gone.join(lines.select("sample_id", "line", "src"), "sample_id").where("line > at_line")
-    null = F.expr(r"regexp_like(src, concat('\\b', ptr, '\\s*=\\s*nullptr'))")
-    use = (F.regexp_extract("src", r"\b(\w+)\s*(?:->|\[|\*)", 1) == F.col("ptr")) & ~null
-    best = later.groupBy("sample_id", "at_line", "ptr").agg(F.min(F.when(null, F.col("line"))).alias("stop"), F.min(F.when(use, F.col("line"))).alias("use_line"))
-    return best.where("use_line IS NOT NULL AND (stop IS NULL OR use_line < stop)").select("sample_id", "at_line", "ptr", "use_line")
+    lines = _lines(spark, folder).where("lang = 'cpp'").select("sample_id", "line", "src")
+    gone = lines.withColumn("ptr", F.regexp_extract("src", r"\bdelete(?:\[\])?\s+(\w+)\s*;", 1)).where("ptr <> ''")
+    return rules.used_after(gone, lines, ["sample_id"], [])
 
 
 def snippets_of_calls(spark: SparkSession, folder: str) -> DataFrame:

@@ -17,10 +17,11 @@ def _findings(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "scored_vulns")
 
 
-def _once(spark: SparkSession, folder: str) -> DataFrame:
-    """Findings without their redeliveries: of each id the first that came in."""
-    rows = _findings(spark, folder)
-    return rules.dedup_first(rows, ["finding_id"], ["ingested_at"])
+def _once(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """``finding_id`` and the columns named of findings without their redeliveries: of each id the first that came
+    in.  Redelivered rows hold the same values, so that the time alone decides."""
+    best = _findings(spark, folder).groupBy("finding_id").agg(F.min_by(F.struct(*columns), F.coalesce("ingested_at", F.expr("timestamp_ntz'9999-12-31'"))).alias("_b"))
+    return best.select("finding_id", *[F.col(f"_b.{c}").alias(c) for c in columns])
 
 
 def finding_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,14 +47,14 @@ def finding_dedup_first(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def findings_in_order(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _once(spark, folder)
+    rows = _once(spark, folder, "language", "composite_risk")
     order = [F.desc_nulls_last("composite_risk"), "finding_id"]
     return rules.numbered(rows.select("finding_id", "language", "composite_risk"), order, lang="language", id_="number").select("number", "finding_id", "composite_risk")
 
 
 def _top(k: int, *order: str):  # noqa: ANN202
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        rows = _once(spark, folder).select("finding_id", "cwe", "severity", "composite_risk", "risk_score")
+        rows = _once(spark, folder, "cwe", "severity", *order)
         return reports.top(rows, [*[F.desc_nulls_last(c) for c in order], F.asc("finding_id")], k, ["finding_id", "cwe", "severity", *order])
 
     return query
@@ -67,12 +68,12 @@ def top7_cwes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _number(column: str) -> F.Column:
-    return F.get(references.numbers(F.col(column)), F.lit(0))
+    return F.get(references.numbers(F.col(column)), F.lit(0)).try_cast("bigint")
 
 
 def standard_in_force(spark: SparkSession, folder: str) -> DataFrame:
     """Each finding with the first entry of its weakness in force when it was scanned."""
-    points = _once(spark, folder).select("finding_id", _number("cwe").alias("cwe_no"), "scanned_at")
+    points = _once(spark, folder, "cwe", "scanned_at").select("finding_id", _number("cwe").alias("cwe_no"), "scanned_at")
     spans = table(spark, folder, "standards_db").select(_number("cwe_id").alias("cwe_no"), "entry_id", "added_at", "retired_at", "cvss_severity")
     return joins.first_covering(points, spans, ["cwe_no"], "scanned_at", "added_at", "retired_at", "entry_id", ["finding_id"], ["entry_id", "cvss_severity"])
 
@@ -81,12 +82,12 @@ def citation_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """Each finding's citation: that of the weakness's last entry, or that it is missing."""
     db = table(spark, folder, "standards_db").select(F.upper(F.trim("cwe_id")).alias("cwe"), "entry_id", F.concat_ws(" ", "cert_c_rule", "title").alias("citation"))
     last = db.groupBy("cwe").agg(F.max_by("citation", "entry_id").alias("citation"))
-    rows = _once(spark, folder).select("finding_id", "cwe")
+    rows = _once(spark, folder, "cwe")
     return joins.looked_up(rows, last, "cwe", {"citation": F.concat(F.lit("Citation missing for "), F.coalesce("cwe", F.lit("no weakness")))})
 
 
 def base_scores(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _once(spark, folder)
+    rows = _once(spark, folder, "cwe")
     return rows.select("finding_id", C.base_score(F.col("cwe")).alias("base_score"), C.bucket_of_base_score(C.base_score(F.col("cwe")) * 10).alias("base_severity"))
 
 
@@ -97,41 +98,41 @@ def _decisions(spark: SparkSession, folder: str) -> DataFrame:
 
 def decision_join(spark: SparkSession, folder: str) -> DataFrame:
     """Decisions by strategy and language of their findings; those without a finding drop out."""
-    rows = _decisions(spark, folder).join(_once(spark, folder).select("finding_id", "language", "severity", "ingested_at"), "finding_id")
+    rows = _decisions(spark, folder).join(_once(spark, folder, "language", "severity", "ingested_at"), "finding_id")
     return rows.groupBy("strategy", "language").agg(F.count("*").alias("n"), F.count_if(F.col("severity").isin("CRITICAL", "HIGH")).alias("n_severe"), F.count_if(F.col("decided_at") < F.col("ingested_at")).alias("n_early"))
 
 
 def decisions_by_file(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _decisions(spark, folder).join(_once(spark, folder).select("finding_id", "source_file", "line_start"), "finding_id")
+    rows = _decisions(spark, folder).join(_once(spark, folder, "source_file", "line_start"), "finding_id")
     return rows.groupBy("source_file").agg(F.count("*").alias("n_decisions"), F.countDistinct("finding_id").alias("n_findings"), F.max("line_start").alias("last_line"))
 
 
 def strategy_lookup(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _once(spark, folder)
+    rows = _once(spark, folder, "cwe")
     return rows.select("finding_id", patches.first_strategy(F.col("cwe")).alias("strategy"))
 
 
 def tiered_lookup(spark: SparkSession, folder: str) -> DataFrame:
     """The template of each finding, by weakness and strategy, by strategy, or by weakness, preferring one that
     matches the code."""
-    rows = _once(spark, folder).select("finding_id", "cwe", patches.first_strategy(F.col("cwe")).alias("strategy"), "code_snippet")
-    return joins.tiered(rows, patches.templates(spark), ["finding_id"], "cwe", "strategy", "code_snippet").select("finding_id", "template_ord", "tier")
+    rows = _once(spark, folder, "cwe", "code_snippet").select("finding_id", "cwe", patches.first_strategy(F.col("cwe")).alias("strategy"), "code_snippet")
+    return rows.select("finding_id", patches.template(F.col("cwe"), F.col("strategy"), F.col("code_snippet")).alias("_t")).select("finding_id", "_t.template_ord", "_t.tier")
 
 
 def theta_first_after(spark: SparkSession, folder: str) -> DataFrame:
     """For each tainted finding the first later untainted one of the same file."""
-    rows = _once(spark, folder)
+    rows = _once(spark, folder, "source_file", "taint_confirmed", "scanned_at")
     a = rows.where("taint_confirmed").select("source_file", F.col("finding_id").alias("tainted_id"), F.col("scanned_at").alias("seen"))
     b = rows.where("NOT taint_confirmed").select("source_file", F.col("finding_id").alias("next_id"), "scanned_at", F.struct("scanned_at", "finding_id").alias("o"))
     return rules.first_after(a, b, ["source_file"], ["tainted_id"], "seen", "scanned_at", "o", lambda t: F.date_trunc("month", t)).select("source_file", "tainted_id", "next_id", "scanned_at")
 
 
 def repeated_key_group(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.repeated(_once(spark, folder), ["source_file", "rule_name"], "line_start").where("n >= 2")
+    return rules.repeated(_once(spark, folder, "source_file", "rule_name", "line_start"), ["source_file", "rule_name"], "line_start").where("n >= 2")
 
 
 def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    rows = _once(spark, folder)
+    rows = _once(spark, folder, "rule_name", "source_file", "scanned_at")
     early = F.col("scanned_at") < F.expr(f"timestamp_ntz'{HALF}'")
     return rows.where(early), rows.where(~early)
 
@@ -150,7 +151,7 @@ def remaining_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 def _per_file(spark: SparkSession, folder: str) -> DataFrame:
     early = F.col("scanned_at") < F.expr(f"timestamp_ntz'{HALF}'")
-    return _once(spark, folder).groupBy("source_file").agg(F.count_if(early).alias("n_before"), F.count_if(~early).alias("n_after"))
+    return _once(spark, folder, "source_file", "scanned_at").groupBy("source_file").agg(F.count_if(early).alias("n_before"), F.count_if(~early).alias("n_after"))
 
 
 def fix_rate(spark: SparkSession, folder: str) -> DataFrame:
@@ -170,7 +171,7 @@ def path_or_name(spark: SparkSession, folder: str) -> DataFrame:
 
 def covering_findings(spark: SparkSession, folder: str) -> DataFrame:
     """How many findings of other rules cover each finding's line in its file."""
-    rows = _once(spark, folder).select("finding_id", "source_file", "rule_name", "line_start", "line_end")
+    rows = _once(spark, folder, "source_file", "rule_name", "line_start", "line_end")
     band = lambda c: F.floor(c / 32)  # noqa: E731  # equality keys for the range: no file is one group
     b = rows.select("source_file", F.col("rule_name").alias("r"), F.col("line_start").alias("s"), F.col("line_end").alias("e")).where("s <= e")
     b = b.withColumn("band", F.explode(F.sequence(band(F.col("s")), band(F.col("e")))))
@@ -180,7 +181,7 @@ def covering_findings(spark: SparkSession, folder: str) -> DataFrame:
 
 def first_on_line(spark: SparkSession, folder: str) -> DataFrame:
     """The first finding of each line of each file."""
-    rows = _once(spark, folder).select("source_file", "line_start", "finding_id", "rule_name")
+    rows = _once(spark, folder, "source_file", "line_start", "rule_name")
     return rules.dedup_first(rows, ["source_file", "line_start"], ["finding_id"])
 
 
@@ -194,24 +195,25 @@ def json_extract_decision(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def heuristic_risk(spark: SparkSession, folder: str) -> DataFrame:
-    return _once(spark, folder).select("finding_id", C.heuristic_risk(F.col("severity"), F.col("confidence"), F.col("risk_score")).alias("composite"))
+    return _once(spark, folder, "severity", "confidence", "risk_score").select("finding_id", C.heuristic_risk(F.col("severity"), F.col("confidence"), F.col("risk_score")).alias("composite"))
 
 
 def severity_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _once(spark, folder).withColumn("bucket", C.bucket(F.col("exploit_prob")))
+    rows = _once(spark, folder, "exploit_prob", "ml_severity").withColumn("bucket", C.bucket(F.col("exploit_prob")))
     return rows.groupBy("bucket", "ml_severity").agg(F.count("*").alias("n"))
 
 
 def ensemble_score(spark: SparkSession, folder: str) -> DataFrame:
     parts = {"text": F.lit(None).cast("double"), "graph": F.col("confidence"), "tree": F.col("exploit_prob")}
     score = C.ensemble(parts, F.col("function_name"), F.col("taint_confirmed"), F.col("has_extern_input"), F.col("vuln_id"))
-    return _once(spark, folder).select("finding_id", score.alias("score"))
+    return _once(spark, folder, "confidence", "exploit_prob", "function_name", "taint_confirmed", "has_extern_input", "vuln_id").select("finding_id", score.alias("score"))
 
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     c = F.col
     columns = {"cwe": c("cwe"), "severity": c("severity"), "confidence": c("confidence"), "reachable": c("reachable_from_entry"), "extern": c("has_extern_input"), "depth": c("call_depth"), "in_loop": c("in_loop"), "pointers": F.length("code_snippet") - F.length(F.replace("code_snippet", F.lit("*"), F.lit(""))), "unsafe": F.size(F.coalesce("agent_notes", F.array())), "unfreed": c("cwe") == "CWE-401", "loops": c("in_loop").cast("int"), "language": c("language")}
-    return dataset.features(_once(spark, folder), columns, ["finding_id", "severity", "risk_score", "exploit_prob", "taint_confirmed"])
+    rows = _once(spark, folder, "cwe", "severity", "confidence", "reachable_from_entry", "has_extern_input", "call_depth", "in_loop", "code_snippet", "agent_notes", "language", "risk_score", "exploit_prob", "taint_confirmed")
+    return dataset.features(rows, columns, ["finding_id", "severity", "risk_score", "exploit_prob", "taint_confirmed"])
 
 
 def feature_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,17 +234,17 @@ def feature_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 def _weak(strategy: str):  # noqa: ANN202
     def query(spark: SparkSession, folder: str) -> DataFrame:
-        return dataset.weak_labels(_once(spark, folder), "composite_risk", strategy).select("finding_id", "label")
+        return dataset.weak_labels(_once(spark, folder, "composite_risk"), "composite_risk", strategy).select("finding_id", "label")
 
     return query
 
 
 def weak_labels_flipped(spark: SparkSession, folder: str) -> DataFrame:
-    return dataset.weak_labels(_once(spark, folder), "composite_risk", "moderate", "finding_id").select("finding_id", "label")
+    return dataset.weak_labels(_once(spark, folder, "composite_risk"), "composite_risk", "moderate", "finding_id").select("finding_id", "label")
 
 
 def percentile_split(spark: SparkSession, folder: str) -> DataFrame:
-    return dataset.percentile_split(_once(spark, folder), "composite_risk").select("finding_id", "label")
+    return dataset.percentile_split(_once(spark, folder, "composite_risk"), "composite_risk").select("finding_id", "label")
 
 
 def class_balance(spark: SparkSession, folder: str) -> DataFrame:
@@ -255,12 +257,12 @@ def stratified_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def confusion_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _once(spark, folder).select(F.col("taint_confirmed").cast("int").alias("truth"), (F.col("exploit_prob") >= 0.5).cast("int").alias("guess"), "language")
+    rows = _once(spark, folder, "taint_confirmed", "exploit_prob", "language").select(F.col("taint_confirmed").cast("int").alias("truth"), (F.col("exploit_prob") >= 0.5).cast("int").alias("guess"), "language")
     return metrics.confusion(rows, "truth", "guess", ["language"])
 
 
 def _truth(spark: SparkSession, folder: str) -> DataFrame:
-    return _once(spark, folder).select(F.col("taint_confirmed").cast("int").alias("truth"), "exploit_prob")
+    return _once(spark, folder, "taint_confirmed", "exploit_prob").select(F.col("taint_confirmed").cast("int").alias("truth"), "exploit_prob")
 
 
 def roc_points(spark: SparkSession, folder: str) -> DataFrame:
@@ -276,7 +278,7 @@ def areas_under_curves(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def regression_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.regression(_once(spark, folder), "risk_score", "exploit_prob", ["language"])
+    return metrics.regression(_once(spark, folder, "risk_score", "exploit_prob", "language"), "risk_score", "exploit_prob", ["language"])
 
 
 def corr_matrix(spark: SparkSession, folder: str) -> DataFrame:
@@ -288,7 +290,7 @@ def interaction_matrix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fold_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    rows = metrics.folds(_once(spark, folder), "finding_id").select("fold", "risk_score", "exploit_prob")
+    rows = metrics.folds(_once(spark, folder, "risk_score", "exploit_prob"), "finding_id").select("fold", "risk_score", "exploit_prob")
     return metrics.over_folds(metrics.regression(rows, "risk_score", "exploit_prob", ["fold"]), ["mae", "rmse"])
 
 
@@ -319,7 +321,7 @@ def partial_dependence(spark: SparkSession, folder: str) -> DataFrame:
 
 def cross_validation(spark: SparkSession, folder: str) -> DataFrame:
     rows = cut(_vectors(spark, folder).withColumn("label", F.col("taint_confirmed").cast("int")).drop("exploit_prob").withColumnRenamed("risk_score", "target"))
-    return models.cross_validated(rows, dataset.FEATURES, "label", "target", "finding_id", 3)
+    return models.cross_validated(rows, dataset.FEATURES, "label", "target", "finding_id")
 
 
 _ONCE = "o AS (SELECT * FROM scored_vulns QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY ingested_at) = 1)"

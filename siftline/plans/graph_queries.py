@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import graph
-from ..session import table
+from ..operators import graph, rules
+from ..session import cut, table
 from ..sources import files
 from . import code_queries
 
 
 def _calls(spark: SparkSession, folder: str) -> DataFrame:
-    w = Window.partitionBy("source_file").orderBy("line_start", "finding_id", "ingested_at")
-    rows = table(spark, folder, "scored_vulns").where("source_file IS NOT NULL AND function_name IS NOT NULL")
-    return rows.select(F.col("function_name").alias("caller"), F.lead("function_name").over(w).alias("callee"), "line_start", F.struct("line_start", "finding_id").alias("o"))
+    rows = table(spark, folder, "scored_vulns").where("source_file IS NOT NULL AND function_name IS NOT NULL").select("source_file", "function_name", "line_start", "finding_id", "ingested_at")
+    each = rules.following(rows, ["source_file"], ["line_start", "finding_id", "ingested_at"], "function_name", "callee", F.floor(F.col("line_start") / 64))
+    return each.select(F.col("function_name").alias("caller"), "callee", "line_start", F.struct("line_start", "finding_id").alias("o"))
 
 
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +41,7 @@ def reachability_depth(spark: SparkSession, folder: str) -> DataFrame:
 
 def unreachable_functions(spark: SparkSession, folder: str) -> DataFrame:
     """Functions that no start reaches: depth -1."""
-    e = _edges(spark, folder)
+    e = cut(_edges(spark, folder))
     nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     return nodes.join(graph.reach(e, _starts(spark, folder)), "node", "left_anti").select("node", F.lit(-1).alias("depth"))
 

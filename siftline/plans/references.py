@@ -18,7 +18,8 @@ def _orphans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _orphans(spark, folder).select(F.col("ref_id").alias("finding_id"), F.col("ref_key").alias("cwe_no")).distinct()
+    """The column is BIGINT: a number beyond it, which no key can be, is counted in ``p2_report`` alone."""
+    return _orphans(spark, folder).select(F.col("ref_id").alias("finding_id"), F.col("ref_key").try_cast("bigint").alias("cwe_no")).where("cwe_no IS NOT NULL").distinct()
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,12 +27,12 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _REFS = """
-r AS (SELECT DISTINCT finding_id, scanned_at, try_cast(unnest(regexp_extract_all(cwe, '[0-9]+')) AS BIGINT) AS cwe_no FROM scored_vulns),
-s AS (SELECT try_cast(unnest(regexp_extract_all(cwe_id, '[0-9]+')) AS BIGINT) AS no, added_at, retired_at FROM standards_db),
+r AS (SELECT DISTINCT finding_id, scanned_at, unnest(regexp_extract_all(cwe, '0*([0-9]+)', 1)) AS cwe_no FROM scored_vulns),
+s AS (SELECT unnest(regexp_extract_all(cwe_id, '0*([0-9]+)', 1)) AS no, added_at, retired_at FROM standards_db),
 o AS (SELECT * FROM r WHERE cwe_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s WHERE no = cwe_no AND added_at <= scanned_at AND (retired_at IS NULL OR scanned_at < retired_at)))"""
 
 SQL = {
-    "p2_found": f"WITH {_REFS} SELECT DISTINCT finding_id, cwe_no FROM o",
+    "p2_found": f"WITH {_REFS} SELECT DISTINCT finding_id, try_cast(cwe_no AS BIGINT) AS cwe_no FROM o WHERE try_cast(cwe_no AS BIGINT) IS NOT NULL",
     "p2_report": f"""WITH {_REFS},
 v AS (SELECT no, min(added_at) AS first, CASE WHEN bool_or(retired_at IS NULL) THEN NULL ELSE max(retired_at) END AS last FROM s WHERE added_at IS NOT NULL AND (retired_at IS NULL OR retired_at > added_at) GROUP BY no),
 k AS (SELECT o.*, CASE WHEN no IS NULL THEN 'missing' WHEN scanned_at < first THEN 'later' WHEN scanned_at >= last THEN 'ended' ELSE 'gap' END AS reason FROM o LEFT JOIN v ON no = cwe_no),
