@@ -237,12 +237,12 @@ def marked_lines(files: DataFrame, functions: DataFrame, key: str, text: str, ru
     by_language = lambda make: reduce(lambda c, g: c.when(F.col("lang") == g, make(g)), P.ENTRIES, F.when(F.lit(False), F.lit(False))).otherwise(F.lit(False))
     either = lambda columns: reduce(operator.or_, columns, F.lit(False))
     each = spread(files.select(key, F.lower(F.trim("lang")).alias("lang"), text).where(F.col("lang").isin(*P.ENTRIES) & F.col(text).isNotNull()))
-    each = each.select(key, "lang", S.split_lines(F.col(text)).alias("_ls"))
+    each = each.select(key, "lang", F.transform(S.split_lines(F.col(text)), F.trim).alias("_ls"))
     is_cpp = F.col("lang") == "cpp"
     each = each.withColumn("_checks", F.when(is_cpp, F.transform("_ls", lambda x: x.rlike(_CHECKED)))).withColumn("_deletes", F.when(is_cpp, F.exists("_ls", lambda x: x.rlike(_DELETED))).otherwise(F.lit(False)))
-    each = each.select(key, "lang", "_checks", "_deletes", F.posexplode("_ls").alias("_pos", "_s"))
+    each = each.select(key, "lang", "_checks", "_deletes", F.posexplode("_ls").alias("_pos", "src"))
     before = either([F.coalesce(F.get("_checks", F.col("_pos") - i), F.lit(False)) for i in (1, 2, 3)])
-    lines = each.select(key, "lang", (F.col("_pos") + 1).alias("line"), F.trim("_s").alias("src"), before.alias("before3"), "_deletes")
+    lines = each.select(key, "lang", (F.col("_pos") + 1).alias("line"), "src", before.alias("before3"), "_deletes")
     marks = {m: (F.col("lang") == r.language) & c for r in rules for m, c in r.function.items()}
     lines = lines.withColumn("hit", by_language(lambda g: either([r.screen_column() for r in rules if r.language == g]))).withColumns(marks)
     about = (F.col("_deletes") & (has(_DELETED) | has(_NULLED) | has(_USED))) | ((F.col("lang") == "go") & holds("os.Args"))
